@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import os
 import re
@@ -38,6 +39,18 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within this, what a query has shuffled is deleted as soon as its result is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage, outlive lost executors and go when the session ends."""
 
@@ -46,7 +59,8 @@ class Scratch:
         atexit.register(self.drop)
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        df.write.options(**options).parquet(f"{self.path}/{name}")
+        with shuffles_dropped(self.spark):
+            df.write.options(**options).parquet(f"{self.path}/{name}")
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:
@@ -158,6 +172,30 @@ def rolling(h: np.ndarray, k: int, seed: int) -> np.ndarray:
     return mix(out)
 
 
+def word_hashes(texts: list[bytes], hashers: list[WordHash], most: int = 2 << 20) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each hasher the hashes of all words of all texts, in order; and the number of words of each text.
+
+    The bytes are handled in stretches of about `most`, cut between words.
+    """
+    data, starts = joined(texts, b" ")
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in hashers]
+    begins = [np.zeros(0, np.int64)]
+    at = 0
+    while at < len(data):
+        stop = min(at + most, len(data))
+        while stop < len(data) and not IS_SPACE[data[stop - 1]]:
+            ahead = np.flatnonzero(IS_SPACE[data[stop : stop + most]])
+            stop = stop + int(ahead[0]) + 1 if len(ahead) else min(stop + most, len(data))
+        piece = data[at:stop]
+        b, e = words(piece)
+        for hasher, got in zip(hashers, out, strict=True):
+            got.append(hasher(piece, b, e))
+        begins.append(b + at)
+        at = stop
+    counts = np.diff(np.searchsorted(np.concatenate(begins), starts))
+    return [np.concatenate(got) for got in out], counts
+
+
 def utf8(col: pa.Array) -> list[bytes]:
     """The texts' bytes; null counts as empty."""
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]

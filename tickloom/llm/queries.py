@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup, packing, simhash
+from tickloom.llm import exact_dedup, packing, simhash, substring_dedup
 from tickloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -32,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op5_exact_dedup": op5_exact_dedup,
+        "op8_substring_dedup": op8_substring_dedup,
         "op10_packing": op10_packing,
     }
 
