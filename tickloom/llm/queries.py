@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, line_dedup, order_minhash, packing, quality, simhash, substring_dedup, toxicity
+from tickloom.llm import exact_dedup, line_dedup, mixing, order_minhash, packing, quality, simhash, substring_dedup, toxicity
 from tickloom.llm.common import table
 
 
@@ -40,6 +40,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mixing.mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    domains = [F.get("p", F.lit(d)).alias(f"p{d}") for d in range(4)]
+    return done.select("doc_id", "tokens", *domains, "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -59,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op7_toxicity": op7_toxicity,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_mixing": op9_mixing,
         "op10_packing": op10_packing,
     }
 

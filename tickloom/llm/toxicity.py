@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.llm.common import batches
 from tickloom.llm.labels import LONGEST, MOST, logistic, remainder, sample, sigmoid
@@ -230,7 +231,7 @@ def scored(docs: DataFrame, model, text: str = "text", column: str = "score") ->
             score = np.asarray(sent.value(b.column(own).to_pylist()), np.float64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(score)], names=[*names, column])
 
-    kind = docs.schema.add(column, "double", False)
+    kind = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     return rows.mapInArrow(run, kind)
 
 
