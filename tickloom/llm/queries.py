@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, line_dedup, mixing, order_minhash, packing, quality, simhash, substring_dedup, toxicity
+from tickloom.llm import exact_dedup, line_dedup, lm, mixing, order_minhash, packing, quality, simhash, substring_dedup, toxicity
 from tickloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_order_minhash": op3_order_minhash,
         "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_lm_scores": op6_lm_scores,
         "op7_toxicity": op7_toxicity,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_mixing": op9_mixing,
