@@ -125,9 +125,9 @@ def posteriors(docs: DataFrame, model: Domains, text: str, columns: list[str]) -
             for at in range(0, b.num_rows, 512):
                 s = b.slice(at, 512)
                 p, n = sent.value(utf8(s.column("__text")), hasher)
-                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in columns), pa.array(n.astype(np.int64)), pa.array(list(p))], names=[*columns, "tokens", "p"])
+                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in columns), pa.array(n.astype(np.int64)), pa.array(list(p))], names=[*columns, "__tokens", "__p"])
 
-    kind = T.StructType([*docs.select(*columns).schema.fields, T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
+    kind = T.StructType([*docs.select(*columns).schema.fields, T.StructField("__tokens", T.LongType()), T.StructField("__p", T.ArrayType(T.DoubleType()))])
     return rows.mapInArrow(run, kind)
 
 
@@ -141,7 +141,7 @@ def rates(tokens: np.ndarray, p: np.ndarray, residuals: np.ndarray, rate: float,
 
 
 def matrix(b: pa.RecordBatch, domains: int) -> np.ndarray:
-    return b.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, domains)
+    return b.column("__p").flatten().to_numpy(zero_copy_only=False).reshape(-1, domains)
 
 
 def expected(rows: DataFrame, residuals: np.ndarray, domains: int, rate: float, pull: float) -> np.ndarray:
@@ -150,11 +150,11 @@ def expected(rows: DataFrame, residuals: np.ndarray, domains: int, rate: float,
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(domains)
         for b in it:
-            n, p = b.column("tokens").to_numpy(), matrix(b, domains)
+            n, p = b.column("__tokens").to_numpy(), matrix(b, domains)
             total += (rates(n, p, residuals, rate, pull) * n) @ p
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(domains)), pa.array(total)], names=["d", "e"])
 
-    got = rows.select("tokens", "p").mapInArrow(run, "d long, e double").groupBy("d").agg(F.sum("e").alias("e")).collect()
+    got = rows.select("__tokens", "__p").mapInArrow(run, "d long, e double").groupBy("d").agg(F.sum("e").alias("e")).collect()
     out = np.zeros(domains)
     for d, e in got:  # one row a domain
         out[d] = e
@@ -187,8 +187,8 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, domains: int, budget: float
     return residuals, rate
 
 
-def mixing(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("quality", "toxic"), targets: tuple[float, ...] = (0.02, 0.96, 0.0, 0.02), budget: float = 1.0, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] | None = None, learn: Column | None = None, most: int = MOST, pull: float = 0.001, steps: int = 30) -> DataFrame:
-    """doc_id (or the columns of `keep`), tokens, p and rate. targets: shares of tokens of domains 0, 1, .., by label bits.
+def mixing(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("quality", "toxic"), targets: tuple[float, ...] = (0.04, 0.95, 0.0, 0.01), budget: float = 1.0, text: str = "text", doc_id: str = "doc_id", whole: bool = False, learn: Column | None = None, most: int = MOST, pull: float = 0.001, steps: int = 30) -> DataFrame:
+    """doc_id, tokens, p and rate (whole: all columns, __tokens, __p and __rate). targets: shares of tokens of domains 0, 1, .., by label bits.
 
     budget: expected tokens in all, as a multiple of what there are.
     """
@@ -198,14 +198,21 @@ def mixing(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("qualit
     domains = len(targets)
     free = F.lit(True) if learn is None else learn
     model = Domains([sample(docs, labels, n, free, text, doc_id, most, LONGEST) for n in names])
-    columns = [doc_id] if keep is None else list(keep)
+    columns = docs.columns if whole else [doc_id]
     own = scratch.write(posteriors(docs, model, text, columns), "posteriors")
     residuals, rate = fit_rates(own, np.array(targets), domains, budget, pull, steps)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            n, p = b.column("tokens").to_numpy(), matrix(b, domains)
-            r = rates(n, p, residuals, rate, pull)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), b.column("tokens"), b.column("p"), pa.array(r)], names=[*columns, "tokens", "p", "rate"])
+            r = rates(b.column("__tokens").to_numpy(), matrix(b, domains), residuals, rate, pull)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r)], names=[*b.schema.names, "__rate"])
 
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("rate", T.DoubleType())]))
+    done = own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("__rate", T.DoubleType())]))
+    return done if whole else done.select(F.col(doc_id).alias("doc_id"), F.col("__tokens").alias("tokens"), F.col("__p").alias("p"), F.col("__rate").alias("rate"))
+
+
+def resampled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The documents with all their columns, each as often as its rate asks for; options as of mixing()."""
+    done = mixing(docs, labels, text=text, doc_id=doc_id, whole=True, **options)
+    often = F.explode(F.array_repeat(F.lit(1), copies(F.col("__rate"), F.col(doc_id)))).alias("__copy")
+    return done.select(*docs.columns, often).drop("__copy")

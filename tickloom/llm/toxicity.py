@@ -2,8 +2,8 @@
 
 Writers hide words by look-alike signs, spaces between letters, separators and repeated letters. A token that shows any
 of these becomes a lattice of readings with channel costs; Viterbi decoding under a character trigram model finds the
-likeliest word, with a bonus for words known from training. The restored texts are scored by a lexicon and a logistic
-regression over what the lexicon finds in a text. Character model, known words, lexicon and regression are all learned
+likeliest word, with a bonus for words known from training. The restored texts are scored by a lexicon of words and
+beginnings of words, and a logistic regression over what the lexicon finds in a text. Character model, known words, lexicon and regression are all learned
 from a bounded sample of labelled documents (labels.py: `most`, `longest`); their size follows that bound.
 
 Tokens of plain letters are their own only reading and are not decoded, nor are tokens of more than LONG_TOKEN signs.
@@ -164,12 +164,21 @@ def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
+#: Letters of the beginnings of words that the lexicon may hold besides whole words.
+BEGIN = (4, 5, 6)
+
+
+def units(words: set[str]) -> set[str]:
+    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in BEGIN))
+
+
 class Toxicity:
     """A fitted scorer: call it with texts."""
 
-    def __init__(self, rows: list[tuple[str, int]], strong: float = 30.0):
+    def __init__(self, rows: list[tuple[str, int]], strong: float | None = None):
         self.share = sum(y for _, y in rows) / len(rows) if rows else 0.0
         self.lexicon: dict[str, float] = {}
+        self.heads: set[str] = set()
         self.weights = None
         plain: Counter = Counter()
         for text, _ in rows:
@@ -178,7 +187,7 @@ class Toxicity:
         self.restore = Restorer(short, {w for w, n in short.items() if n > 2})
         if not 0 < self.share < 1:
             return
-        found = [(set(self.restore.words(t)), y) for t, y in without_copies(rows)]
+        found = [(units(set(self.restore.words(t))), y) for t, y in without_copies(rows)]
         df = (Counter(), Counter())
         total = [0, 0]
         for ws, y in found:
@@ -190,8 +199,13 @@ class Toxicity:
         self.center, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         self.weights = logistic((x - self.center) / self.scale, np.array([y for _, y in rows]))
 
-    def choose(self, df: tuple[Counter, Counter], total: list[int], strong: float) -> None:
-        """Words whose counts of documents by class differ by a log-likelihood ratio of at least `strong`."""
+    def choose(self, df: tuple[Counter, Counter], total: list[int], strong: float | None) -> None:
+        """Units whose counts of documents by class differ by a log-likelihood ratio of at least `strong`.
+
+        By itself that is what chance gives one of all the units that stand in three documents or more, 20 at most.
+        """
+        several = sum(n + df[0][w] > 2 for w, n in df[1].items())
+        strong = min(20.0, 2 * math.log(max(several, 20))) if strong is None else strong
         share = total[1] / sum(total)
         for w, n1 in df[1].items():
             n = n1 + df[0][w]
@@ -201,12 +215,23 @@ class Toxicity:
             odds = math.log((n1 + 0.5) / (total[1] + 1)) - math.log((df[0][w] + 0.5) / (total[0] + 1))
             if ratio >= strong and odds >= 2:
                 self.lexicon[w] = odds
+        self.heads = {w[: BEGIN[0]] for w in self.lexicon if w[-1] == "*"}
+
+    def weight(self, word: str) -> float:
+        """What the lexicon says about a word, by itself or its beginning; 0 if nothing."""
+        get = self.lexicon.get
+        own = get(word, 0.0)
+        if word[: BEGIN[0]] in self.heads:
+            own = max(own, *(get(word[:k] + "*", 0.0) for k in BEGIN if len(word) > k), 0.0)
+        return own
 
     def features(self, text: str) -> tuple[float, float, float, float]:
         words = self.restore.words(text)
-        hits = list(filter(self.lexicon.__contains__, words))
-        kinds = set(hits)
-        return (max(map(self.lexicon.__getitem__, kinds), default=0.0), math.log1p(len(hits)), math.log1p(len(kinds)), math.log1p(100 * len(hits) / max(1, len(words))))
+        heads, n = self.heads, BEGIN[0]
+        hits = [w for w in words if w in self.lexicon or w[:n] in heads]
+        kinds = {w: x for w in set(hits) if (x := self.weight(w))}
+        count = sum(w in kinds for w in hits)
+        return (max(kinds.values(), default=0.0), math.log1p(count), math.log1p(len(kinds)), math.log1p(100 * count / max(1, len(words))))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self.weights is None:
@@ -241,3 +266,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, t
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     result = scored(rows, model)
     return result.select("doc_id", (remainder(F.col("doc_id"), fold) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = MOST) -> DataFrame:
+    """The documents with a score below 0.5, with all their columns; learns from all labels."""
+    model = fit(docs, labels, F.lit(True), text, doc_id, most=most)
+    return scored(docs, model, text, "__score").where("__score < 0.5").select(*docs.columns)
