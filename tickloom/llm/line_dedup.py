@@ -75,7 +75,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wind
     gone = scratch.write(repeated_lines(docs, scratch, text, doc_id, window), "gone")
     scratch.drop("windows")
     scratch.drop("shared")
-    both = lines(docs, text, doc_id).join(gone, ["id", "th"], "left")
+    # Texts are dealt by their keys whatever the other side's size, so that the plan is the same for every input.
+    both = lines(docs, text, doc_id).join(gone.hint("merge"), ["id", "th"], "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get(F.col("lines"), i)))
     done = both.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n"), F.array_join(kept, "\n").alias("kept_text"))
