@@ -216,7 +216,7 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     marked = docs.withColumn("__sha", sha)
     owned = owners(docs, text, doc_id).select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__group"))
     kept = F.col("__group").isNull() | F.col("__keep").eqNullSafe(F.col(doc_id))
-    return marked.join(owned, "__sha", "left").where(kept).select(*docs.columns)
+    return marked.join(owned.hint("merge"), "__sha", "left").where(kept).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -243,4 +243,4 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents with the smallest doc_id of their component, with all their columns; null doc_ids stay."""
     kept = simhash_dedup(docs, text, doc_id).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(doc_id) == F.col("__kept"), "left").where(F.col("__kept").isNotNull() | F.col(doc_id).isNull()).select(*docs.columns)
+    return docs.join(kept.hint("merge"), F.col(doc_id) == F.col("__kept"), "left").where(F.col("__kept").isNotNull() | F.col(doc_id).isNull()).select(*docs.columns)
