@@ -66,7 +66,7 @@ def batch_windows(size: int, buckets: int, groups: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = [WordHash(MERGE), WordHash(VERIFY)]
-        for b in batches(it, "text", 4 << 20):
+        for b in batches(it, "text", 2 << 20):
             ids = b.column("doc_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
@@ -176,6 +176,8 @@ class FingerprintIndex:
             else:
                 answer = self.scratch.write(found, f"last{self.batch}", compression="zstd")
         self.scratch.write(answer.select("grp", "doc", "h"), f"answers/batch={self.batch}", compression="zstd")
+        if not keep:
+            self.scratch.drop(f"last{self.batch}")
         if keep:
             if compact:
                 self.spark.sql(f"DROP TABLE {self.tables.pop()}")
@@ -230,7 +232,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known_ids = rows.where("doc_id IS NOT NULL")
     size_bytes = plan_bytes(docs)
-    groups = parts(docs, 12 << 20)
+    groups = parts(docs, 6 << 20)
     index = FingerprintIndex(spark, size, max(1, size_bytes >> 20), groups, most_runs)
     # Batches by ranges of doc_id, so that all history has smaller doc_ids. The bounds only balance the batches.
     bounds = sorted(set(known_ids.approxQuantile("doc_id", [k / batch_count for k in range(1, batch_count)], 0.01))) if batch_count > 1 else []
