@@ -449,7 +449,7 @@ def scores(model: Model, docs: DataFrame, text: str = "text", doc_id: str = "doc
             lone = np.flatnonzero((v >= 0) & (w < 0))
             if len(lone):
                 some, at = np.unique(v[lone], return_inverse=True)
-                score[lone] += trie.successors(some, np.full(len(some), -1))[1][at] if facts.words else 0.0
+                score[lone] += trie.successors(some, np.zeros(len(some), np.int64))[1][at] if facts.words else 0.0
             total = [np.bincount(owner, x, len(counts)) for x in (seen[which] > 0, base, score)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(total[0].astype(np.int64)), pa.array(total[1]), pa.array(total[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
