@@ -80,8 +80,9 @@ class Scratch:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a frame's size; of a scan, the size of its files."""
-    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 60)
+    """Catalyst's estimate of a frame's size; of a scan, the size of its files. 0 where it doesn't know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else 0
 
 
 def parts(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:

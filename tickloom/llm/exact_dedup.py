@@ -101,6 +101,9 @@ class Trie:
         for key, x in walk(node.children[k], prefix):
             if x.payload is not None:
                 pickle.dump((key, x.payload), file)
+            if x.spill is not None:  # an earlier spill, from when this was above the first branching
+                for record in records(x.spill):
+                    pickle.dump(record, file)
         gone = Node(node.children[k].label[:1])
         gone.spill = file
         node.children[k] = gone
@@ -116,15 +119,21 @@ class Trie:
                 later.append(x.spill)
         self.root = Node(b"")
         for file in later:
-            with file:
-                file.seek(0)
-                sub = Trie(self.most)
-                while True:
-                    try:
-                        sub.add(*pickle.load(file))
-                    except EOFError:
-                        break
-                yield from sub.items()
+            sub = Trie(self.most)
+            for record in records(file):
+                sub.add(*record)
+            yield from sub.items()
+
+
+def records(file) -> Iterator[tuple[bytes, tuple]]:
+    """What a spill file holds; closes it."""
+    with file:
+        file.seek(0)
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                return
 
 
 def walk(node: Node, prefix: bytes) -> Iterator[tuple[bytes, Node]]:
