@@ -62,7 +62,7 @@ class Label:
     def __init__(self, rows: list[tuple[str, int]], strong: float = 30.0, most_words: int = 4096):
         y = np.array([v for _, v in rows], float)
         self.share, self.weights = float(y.mean()) if len(y) else 0.5, None
-        if not 0 < self.share < 1:
+        if not len(y) or not 0 < self.share < 1:
             return
         texts = [t.encode() for t, _ in rows]
         h, counts = hashed(texts, WordHash(SEED))

@@ -69,7 +69,7 @@ def responses(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 class Network:
     def __init__(self, rows: list[tuple[str, int]], steps: int = 700, batch: int = 48, rate: float = 0.01, seed: int = 7):
         self.share = sum(y for _, y in rows) / len(rows) if rows else 0.5
-        self.fitted = 0 < self.share < 1
+        self.fitted = bool(rows) and 0 < self.share < 1
         rng = np.random.default_rng(seed)
         self.table = rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32)
         self.a = rng.normal(0, 0.4, (FILTERS + 1, HIDDEN)).astype(np.float32)
