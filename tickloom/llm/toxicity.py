@@ -187,11 +187,10 @@ class Toxicity:
         self.restore = Restorer(short, {w for w, n in short.items() if n > 2})
         if not 0 < self.share < 1:
             return
-        found = [(units(set(self.restore.words(t))), y) for t, y in without_copies(rows)]
         df = (Counter(), Counter())
         total = [0, 0]
-        for ws, y in found:
-            df[y].update(ws)
+        for text, y in without_copies(rows):
+            df[y].update(units(set(self.restore.words(text))))
             total[y] += 1
         if min(total):
             self.choose(df, total, strong)
