@@ -130,10 +130,13 @@ def buckets(key: F.Column, bounds: list[int]) -> F.Column:
 def edited_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = K, size: int = SIZE, tuple_size: int = TUPLE) -> DataFrame:
     """One row for each document, see SCHEMA: its fingerprint, that of its edited text, and the likenesses."""
     spark = docs.sparkSession
-    n = min(parts(docs, 12 << 20), 1 << 16)
+    n = min(parts(docs, 12 << 20), 1 << 13)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(FIRST)))
-    bounds = sorted({int(x) for x in docs.select(F.col(doc_id).cast("long").alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))}) if n > 1 else []
+    # Several ranges a partition, so that those which hashing deals to one partition come to about the same everywhere.
+    ranges = 8 * n if n > 1 else 1
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
+    bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))}) if n > 1 else []
     rows = rows.withColumn("bucket", buckets(F.col("key"), bounds))
     heads = [tuple(r) for r in rows.groupBy("bucket").agg(F.min("key")).orderBy("bucket").collect()]  # one row a bucket
     before = [(heads[i - 1][0], key) for i, (_, key) in enumerate(heads)]
