@@ -23,12 +23,12 @@ def cycle_aggregates() -> dict[str, Column]:
     }
 
 
+def statistics() -> dict[str, Column]:
+    """Aggregates of members; one without bars has nulls, which count as no drawdown and the highest percentile."""
+    d, p = F.coalesce("cycle_drawdown", F.lit(0.0)), F.coalesce("cycle_pos", F.lit(1.0))
+    return {"members": F.count(F.lit(1)), "med_drawdown": F.median(d), "med_pos": F.median(p), "deep_share": F.avg((d >= DEEP).cast("double"))}
+
+
 def industry_stats(members: DataFrame) -> DataFrame:
-    """members: industry, cycle_drawdown, cycle_pos; a member without bars has nulls, which count as 0 and 1."""
-    known = members.where("industry IS NOT NULL").select("industry", F.coalesce("cycle_drawdown", F.lit(0.0)).alias("d"), F.coalesce("cycle_pos", F.lit(1.0)).alias("p"))
-    return known.groupBy("industry").agg(
-        F.count("*").alias("members"),
-        F.median("d").alias("med_drawdown"),
-        F.median("p").alias("med_pos"),
-        F.avg((F.col("d") >= DEEP).cast("double")).alias("deep_share"),
-    )
+    """Statistics of each industry. members: industry, cycle_drawdown, cycle_pos."""
+    return members.where("industry IS NOT NULL").groupBy("industry").agg(*(c.alias(k) for k, c in statistics().items()))

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.market import limit_of
@@ -52,18 +52,25 @@ def aggregated(bars: DataFrame, stocks: DataFrame, filters: Sequence[str], param
     return rows.groupBy("code").agg(F.max("n").alias("bars_analyzed"), F.max(F.when(F.col("r") == 0, F.col("close"))).alias("close"), F.max("date").alias("last_date"), *(c.alias(k) for k, c in found.items()))
 
 
-def with_industries(bars: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows (with industry) and the statistics of their industries over all members of the universe."""
-    cycles = aggregated(bars, members, (), {}, cycle=True)
-    stats = industry.industry_stats(members.select("code", "industry").join(cycles.select("code", "cycle_drawdown", "cycle_pos"), "code", "left"))
-    return rows.join(stats, "industry", "left")
+def with_industries(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """All members with their aggregated rows and the statistics of their industries.
+
+    rows: aggregates of all members, cycle's among them. The same pass over the bars serves the filters and the
+    industries; what is dealt by industry is one row a member.
+    """
+    joined = members.select(*STOCK_COLUMNS).join(rows, "code", "left")
+    known = F.col("industry").isNotNull()
+    return joined.withColumns({k: F.when(known, c.over(Window.partitionBy("industry"))) for k, c in industry.statistics().items()})
 
 
 def measured(bars: DataFrame, members: DataFrame, candidates: DataFrame, filters: Sequence[str], params: Mapping[str, Any]) -> DataFrame:
     """Candidates with bars, and for each filter gate_<id> and evidence ev_<id>_<key>."""
-    rows = candidates.select(*STOCK_COLUMNS).join(aggregated(bars, candidates, filters, params), "code")
     if any("industry" in FILTERS[f].needs for f in filters):
-        rows = with_industries(bars, members, rows)
+        rows = with_industries(members, aggregated(bars, members, filters, params, cycle=True)).where("bars_analyzed IS NOT NULL")
+        if candidates is not members:
+            rows = rows.join(candidates.select("code"), "code", "left_semi")
+    else:
+        rows = candidates.select(*STOCK_COLUMNS).join(aggregated(bars, candidates, filters, params), "code")
     out: list[Column] = []
     for f in filters:
         own = {k: params[k] for k in (p.name for p in FILTERS[f].params)}
@@ -101,7 +108,8 @@ class Scan:
 def evaluated(scan: Scan, strategy: Strategy, given: Mapping[str, Any] | None = None) -> tuple[DataFrame, dict[str, Any]]:
     """The measured candidates with enough bars, and the parameters."""
     params = strategy.resolve(given)
-    rows = measured(scan.bars, scan.members(), scan.candidates(), strategy.predicate.filters(), params)
+    members = scan.members()
+    rows = measured(scan.bars, members, whitelisted(members, scan.codes), strategy.predicate.filters(), params)
     return rows.where(F.col("bars_analyzed") >= strategy.least(params)), params
 
 
