@@ -14,7 +14,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import finite, half_up, positive
-from tickloom.operators.series import by_date, limit_up, whole
+from tickloom.operators.series import backwards, by_date, limit_up, whole
 from tickloom.plans.params import Param
 
 Columns = dict[str, Column]
@@ -85,11 +85,11 @@ def breakout_rows(p: Given) -> Columns:
         "bo_prev": F.lag("idx", 1).over(by_date()),
         "bo_first": F.lag("idx", base).over(by_date()),
         "bo_max": F.max("idx").over(by_date().rowsBetween(-base, -1)),
-        "low_from_here": F.min("idx").over(by_date().rowsBetween(0, END)),
+        "low_from_here": F.min("idx").over(backwards().rowsBetween(START, 0)),
     }
 
 
-END = Window.unboundedFollowing
+START = Window.unboundedPreceding
 
 
 def breakout(p: Given) -> Columns:
@@ -258,7 +258,7 @@ FILTERS: dict[str, Filter] = {
             lambda p: C("cd_day").isNotNull(),
             lambda p: {"cooldownRefDate": C("cd_day.date"), "cooldownVolumeRatio": half_up(C("cd_day.cool_volume") / C("cd_day.volume"), 4), "daysSinceLimitUp": (C("cd_n") - 1 - C("cd_day.i")).cast("double")},
             cooldown,
-            lambda p: {"low_after_here": F.min("idx").over(by_date().rowsBetween(1, END)), "cool_volume": F.avg(tail("volume", p["cooldownBars"])).over(whole())},
+            lambda p: {"low_after_here": F.min("idx").over(backwards().rowsBetween(START, -1)), "cool_volume": F.avg(tail("volume", p["cooldownBars"])).over(whole())},
             frozenset({"surge", "limit"}),
         ),
         Filter(

@@ -20,6 +20,12 @@ def whole() -> WindowSpec:
     return by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
+def backwards() -> WindowSpec:
+    """From the last bar to the first. Frames up to the end of a series are taken from here as frames from its start:
+    Spark evaluates those in one pass, the others in a time that grows with the square of the series."""
+    return Window.partitionBy("code").orderBy(F.desc("date"))
+
+
 def so_far() -> WindowSpec:
     return by_date().rowsBetween(Window.unboundedPreceding, 0)
 
