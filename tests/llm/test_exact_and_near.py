@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -120,6 +121,43 @@ def test_simhash_odd_rows(docs):
         simhash.simhash_dedup(docs([]), most=5)
 
 
+def test_keep_one_takes_near_copies_of_five_word_similarity(docs):
+    """300 words with 5 changed: similarity about 0.85, fingerprints that differ by more than 4 bits."""
+    rng = np.random.default_rng(11)
+    base = [[f"v{x}" for x in rng.integers(0, 5000, 300)] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    near, far = set(), set()
+    for i, w in enumerate(base):
+        for at, changed in ((100, 5), (200, 25)):
+            x = list(w)
+            for k in rng.choice(np.arange(10, 290, 10), changed, replace=False):
+                x[k] = "changed"
+            alike = len(sets(w) & sets(x)) / len(sets(w) | sets(x))
+            (near if alike >= 0.8 else far).add(at + i)
+            rows.append((at + i, " ".join(x)))
+    group = []
+    for k in range(60):  # a chain: each is near to the next only
+        group.append((1000 + k, " ".join(f"u{x}" for x in range(6 * k, 6 * k + 120))))
+    assert len(near) == len(far) == 40
+    assert sum(bin(fingerprint(dict(rows)[100 + i]) ^ fingerprint(dict(rows)[i])).count("1") > 4 for i in range(40)) > 20
+    kept = {r.doc_id for r in simhash.keep_one(docs(rows + group)).collect()}
+    assert kept == set(range(40)) | far | {1000}
+
+
+def test_entries_apart_are_compared_once_and_with_all_of_their_band():
+    rng = np.random.default_rng(6)
+    whole = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
+    sets = [whole, whole[:90], whole[:85], whole[:40], whole[50:]]
+    keys = np.tile(np.arange(simhash.BANDS), (5, 1))
+    keys[4, 0] = 99
+    row = lambda i, k, low: {"key": k, "low": low, "id": i, "keys": keys[i].tolist(), "shingles": sets[i].tobytes()}
+    rows = [row(0, 0, 0), row(1, 0, 0), row(2, 0, 2), row(3, 0, 3), *(row(i, 1, min(i, 2)) for i in range(5))]
+    batches = pa.Table.from_pylist(rows, pa.schema([("key", pa.int64()), ("low", pa.int64()), ("id", pa.int64()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary())])).to_batches(4)
+    got = [(r["a"], r["b"]) for b in simhash.apart(iter(batches), 0.8) for r in b.to_pylist()]
+    assert got == [(0, 2)]
+
+
 def lines_expected(rows, window):
     first: dict[tuple, tuple] = {}
     places = {}

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import LOWER, WORD, Scratch, batches, parts, utf8
+from tickloom.llm.common import LOWER, WORD, Scratch, WordHash, batches, mix, odd, parts, rolling, utf8, word_hashes
 from tickloom.llm.components import components
 
 SEED = 42
@@ -35,6 +35,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MASKS = tuple(((1 << w) - 1) << b for b, w in SEGMENTS)
 #: Entries of a variant that one task compares with each other.
 BLOCK = 4096
+#: Bands of minhashes by which keep_one finds candidates, and minhashes of each.
+BANDS, ROWS = 32, 4
 
 
 def fingerprint(text: bytes, size: int = 4) -> int:
@@ -240,7 +242,156 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     return result.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents with the smallest doc_id of their component, with all their columns; null doc_ids stay."""
-    kept = simhash_dedup(docs, text, doc_id).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+def shingle_sets(texts: list[bytes], size: int, hasher: WordHash) -> list[np.ndarray]:
+    """Ascending 64-bit hashes of each text's different word shingles; one of all words where they are fewer than `size`."""
+    (h,), counts = word_hashes([t.translate(LOWER) for t in texts], [hasher], 1 << 18)
+    ends = np.cumsum(counts)
+    return [np.unique(rolling(h[e - n : e], max(1, min(size, n)), SEED)) if n else np.zeros(1, np.uint64) for n, e in zip(counts.tolist(), ends.tolist(), strict=True)]
+
+
+def bands(shingles: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """BANDS hashes, each of ROWS minhashes of the set."""
+    least = np.full(len(factor), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        np.minimum(least, (shingles[at : at + 4096, None] * factor + shift).min(axis=0), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        out = mix(out * odd(SEED) + least[r * BANDS : (r + 1) * BANDS])
+    return out
+
+
+def set_rows(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
+    """doc_id, th, set, keys of every document: hashes of its text and of its set of shingles, and the set's bands."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, own = WordHash(SEED), mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
+        factor, shift = own[::2] | np.uint64(1), own[1::2]
+        for b in batches(it, "text", 1 << 18):
+            sets = shingle_sets(utf8(b.column("text")), size, hasher)
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
+            keys = np.concatenate([bands(s, factor, shift) for s in sets])
+            keys = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(ids.view(np.int64)), keys], names=["doc_id", "th", "set", "keys"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text).alias("th"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, set long, keys array<long>")
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of entries next to each other in one band; rows arrive sorted by key and id."""
+    key, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in it:
+        key = np.concatenate([key[-1:], b.column("key").to_numpy()])
+        ids = np.concatenate([ids[-1:], b.column("id").to_numpy()])
+        at = np.flatnonzero(key[1:] == key[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(ids[at]), pa.array(ids[at + 1])], names=["key", "a", "b"])
+
+
+def jaccard(x: np.ndarray, y: np.ndarray, share: float) -> bool:
+    """Whether two ascending sets have a similarity of `share` or more."""
+    if min(len(x), len(y)) < share * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= share * (len(x) + len(y) - both)
+
+
+def apart(it: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """Links between entries of one band that are in different components (low); rows arrive sorted by key.
+
+    A pair is compared in the first band that it shares, unless links found in the band connect it already.
+    """
+    held: list[tuple] = []
+    now = None
+
+    def done() -> pa.RecordBatch:
+        forest = Forest()
+        low, ids = np.array([r[0] for r in held]), np.array([r[1] for r in held])
+        keys, sets = np.stack([r[2] for r in held]), [np.frombuffer(r[3], np.uint64) for r in held]
+        kinds, which, count = np.unique(low, return_inverse=True, return_counts=True)
+        rank = np.argsort(np.argsort(count, kind="stable"), kind="stable")[which]
+        for i in np.flatnonzero(rank < len(kinds) - 1):  # the largest component is only a partner
+            other = np.flatnonzero(rank > rank[i])
+            first = (keys[other] == keys[i]).argmax(axis=1)
+            for j in other[keys[i][first] == now]:
+                if forest.find(int(low[i])) != forest.find(int(low[j])) and jaccard(sets[i], sets[j], share):
+                    forest.up[forest.find(int(low[i]))] = forest.find(int(low[j]))
+                    forest.links.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        a, b = np.array(forest.links, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for b in it:
+        keys = np.asarray(b.column("keys").flatten()).reshape(-1, BANDS)
+        for k, *row in zip(b.column("key").to_pylist(), b.column("low").to_pylist(), b.column("id").to_pylist(), keys, b.column("shingles").to_pylist(), strict=True):
+            if k != now:
+                if held:
+                    yield done()
+                now, held = k, []
+            held.append(row)
+    if held:
+        yield done()
+
+
+def alike(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of `share` or more. sets: set, shingles."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            both = zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)
+            keep = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share) for x, y in both]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    first = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a")
+    both = first.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, size: int, share: float) -> DataFrame:
+    """doc_id, th and component of every document: one component for what links of similarity `share` connect."""
+    marked = scratch.write(set_rows(docs, text, doc_id, size), "sets")
+    entries = marked.select(F.explode("keys").alias("key"), F.col("set").alias("id")).distinct()
+    dealt = entries.repartition("key").sortWithinPartitions("key", "id")
+    close = scratch.write(dealt.mapInArrow(neighbours, "key long, a long, b long"), "neighbours")
+    shared = close.select("key", F.col("a").alias("id")).unionAll(close.select("key", F.col("b").alias("id"))).distinct()
+
+    def shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHash(SEED)
+        for b in batches(it, "text", 1 << 18):
+            found = shingle_sets(utf8(b.column("text")), size, hasher)
+            yield pa.RecordBatch.from_arrays([b.column("set"), b.column("keys"), pa.array([s.tobytes() for s in found], pa.binary())], names=["set", "keys", "shingles"])
+
+    # The texts behind the entries that share a band: one for each set.
+    wanted = marked.join(shared.select(F.col("id").alias("set")).distinct(), "set", "left_semi").groupBy("set").agg(F.min(F.struct("th", "keys")).alias("of"))
+    wanted = wanted.select("set", "of.*")
+    texts = docs.select(text_hash(text).alias("th"), F.col(text).alias("text"))
+    sets = scratch.write(texts.join(wanted.hint("merge"), "th").select("set", "keys", "text").mapInArrow(shingles, "set long, keys array<long>, shingles binary").dropDuplicates(["set"]), "shingles")
+
+    tried = scratch.write(close.select("a", "b").distinct(), "tried")
+    links = scratch.write(alike(tried, sets, share), "alike")
+    low = components(links, Scratch(docs.sparkSession, "near"))
+    # Entries of a band that are not connected yet are compared with all others of it that they are not connected with.
+    named = shared.join(low.select(F.col("b").alias("id"), "a"), "id", "left").select("key", "id", F.coalesce("a", "id").alias("low"))
+    mixed = named.groupBy("key").agg(F.min("low").alias("x"), F.max("low").alias("y")).where("x <> y").select("key")
+    rest = named.join(mixed, "key").join(sets.withColumnRenamed("set", "id"), "id").repartition("key").sortWithinPartitions("key")
+    more = scratch.write(rest.mapInArrow(lambda it: apart(it, share), "a long, b long"), "apart")
+    if not more.isEmpty():
+        low = components(links.unionAll(more), Scratch(docs.sparkSession, "near"))
+    low = low.select(F.col("b").alias("set"), "a")
+    return marked.join(low, "set", "left").select("doc_id", "th", F.coalesce("a", "set").alias("component"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, share: float = 0.8) -> DataFrame:
+    """Of documents that near copies connect the one with the smallest doc_id, with all its columns; null doc_ids stay.
+
+    Near copies have sets of word shingles with a Jaccard similarity of `share` or more. The fingerprints of such texts
+    differ by about 10 of 64 bits and by 13 or more often enough, which segments can't find without comparing nearly
+    everything; so candidates share one of 32 bands of 4 minhashes (a pair of similarity 0.8 has none in common once in
+    2e7), and sets are compared whole. Neighbours of each band are compared first; of the rest only what isn't connected by then.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    found = near_copies(docs, scratch, text, doc_id, size, share).where("doc_id IS NOT NULL")
+    kept = found.groupBy("component").agg(F.min("doc_id").alias("__kept")).select("__kept").distinct()
     return docs.join(kept.hint("merge"), F.col(doc_id) == F.col("__kept"), "left").where(F.col("__kept").isNotNull() | F.col(doc_id).isNull()).select(*docs.columns)
