@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tickloom.llm import labels, lm, mixing, order_minhash, packing, quality, toxicity
+from tickloom.llm import labels, lm, mixing, order_minhash, packing, quality, queries, toxicity
 from tickloom.llm.queries import tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -202,6 +202,19 @@ def test_lm(docs, corpus):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3]) and abs(a[4] - b[4]) / b[1] < 0.05, (a, b)
 
 
+def test_query_keeps_pairs_seen_once(spark, docs, tmp_path):
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(40)]
+    learn, other = [i for i in range(40) if not held[i]], held.index(True)
+    docs([(learn[0], "alpha beta"), (learn[1], "gamma delta"), (other, "alpha beta")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op6_lm_scores(spark, str(tmp_path)).collect()}
+    # 6 tokens: four words once and the end twice
+    cut = 4 / 6
+    once, end = (1 - cut) / 6, (2 - cut) / 6
+    first = 0.25 / 2 + (1 - 2 * 0.25 / 2) * once
+    want = math.log10(first) + math.log10(0.25 + 0.75 * once) + math.log10(0.25 + 0.75 * end)
+    assert got[other].held_out and got[other].score == pytest.approx(want, abs=0.02)
+
+
 def test_lm_without_training(docs):
     assert lm.lm_scores(docs([])).collect() == []
     (r,) = lm.lm_scores(docs([(None, "a b")])).collect()

@@ -33,7 +33,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.lm_scores(table(spark, sf_dir, "documents"))
+    return lm.lm_scores(table(spark, sf_dir, "documents"), least=1)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
