@@ -144,6 +144,26 @@ def test_restoring(hidden, word):
     assert word in model.words(" ".join(word))
 
 
+RESTORED = Counter({"scoundrel": 9, "fiendish": 9, "baka": 50, "delo": 50, "rone": 40, "toad": 9, "idiot": 9})
+
+
+@pytest.mark.parametrize("gap", [" ", "  ", "   "])
+def test_restoring_spaced_phrases_word_by_word(gap):
+    model = toxicity.Restorer(RESTORED, set(RESTORED))
+    phrase = ["rone", "scoundrel", "fiendish", "delo", "idiot", "baka", "scoundrel", "toad", "rone", "delo", "idiot"]
+    assert len("".join(phrase)) > toxicity.LONG_TOKEN
+    for sep in (" ", "-"):
+        found = model.words("baka, " + gap.join(sep.join(w) for w in phrase) + " delo.")
+        assert {"scoundrel", "fiendish", "idiot", "toad"} <= set(found)
+
+
+def test_restoring_long_tokens():
+    model = toxicity.Restorer(RESTORED, set(RESTORED))
+    assert "scoundrel" in model.words("baka-" * 8 + "sc0undrel" + "-delo" * 8)
+    assert "fiendish" in model.words("f" + "i" * 60 + "endish")
+    assert "idiot" in model.words("baka_delo_rone_baka_delo_rone_baka_delo_1d10t_rone_baka_delo")
+
+
 def test_decoding_takes_the_best_path():
     counts = Counter({"idiot": 5, "toad": 3, "tool": 8})
     model = toxicity.Restorer(counts, set())

@@ -6,7 +6,9 @@ likeliest word, with a bonus for words known from training. The restored texts a
 beginnings of words, and a logistic regression over what the lexicon finds in a text. Character model, known words, lexicon and regression are all learned
 from a bounded sample of labelled documents (labels.py: `most`, `longest`); their size follows that bound.
 
-Tokens of plain letters are their own only reading and are not decoded, nor are tokens of more than LONG_TOKEN signs.
+Tokens of plain letters are their own only reading and are not decoded. Tokens of more than LONG_TOKEN signs are decoded
+in stretches that overlap by half. Letters with gaps between them are cut at wider gaps, and what they give as a whole
+is cut into its likeliest words too.
 
 Defined cases: null text counts as empty; texts without words score as the regression's intercept says. Without any
 labels of either kind all scores are the share of label 1 (0 if there are none). Null doc_ids are scored; held_out is
@@ -42,6 +44,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*~]{1,2}){2,}[^\W_](?!\S)")
 EDGE = ".,;:?!\"'()[]{}<>…*%&#~^-_/\\"
 REPEATED = re.compile(r"(.)\1\1")
+RUNS = re.compile(r"(.)\1{3,}")
+GAPS = re.compile(r"[ .\-_*~]+")
 SEPARATORS = re.compile(r"[ .\-_*~]")
 LONG_RUN = re.compile(r"([^\w\s])\1\1+$")
 
@@ -75,6 +79,7 @@ class Restorer:
         self.model, self.known = CharModel(words), known
         self.letters = "".join(c for c, _ in Counter({c: p for c, p in self.model.single.items() if c.isalpha()}).most_common(40))
         self.decode = lru_cache(1 << 17)(self._decode)
+        self.split = lru_cache(1 << 14)(self._split)
 
     def __getstate__(self) -> dict:
         return {"words": None, "model": (self.model.single, self.model.unknown, self.model.triple, self.model.pair), "known": self.known, "letters": self.letters}
@@ -84,6 +89,7 @@ class Restorer:
         self.model.single, self.model.unknown, self.model.triple, self.model.pair = state["model"]
         self.known, self.letters = state["known"], state["letters"]
         self.decode = lru_cache(1 << 17)(self._decode)
+        self.split = lru_cache(1 << 14)(self._split)
 
     def readings(self, sign: str, count: int) -> list[tuple[str, float]]:
         if sign.isalpha():
@@ -119,10 +125,36 @@ class Restorer:
         """The words of a token that isn't letters alone: those between its signs, and the one that they may hide."""
         out = LETTERS.findall(token)
         bare = LONG_RUN.sub("", token).strip(EDGE)
-        if out and not bare.isalpha() and len(bare) <= LONG_TOKEN:
-            out.append(self.decode(bare))
+        if out and not bare.isalpha():
+            out += self.restored(bare)
         return out
 
+    def restored(self, token: str, glued: bool = False) -> list[str]:
+        """The word that a token hides, of a long one those of overlapping stretches. glued: several may stand together."""
+        token = RUNS.sub(r"\1\1\1", token)
+        step = LONG_TOKEN // 2
+        found = [self.decode(token[i : i + LONG_TOKEN]) for i in range(0, max(1, len(token) - step), step)]
+        if glued or len(token) > LONG_TOKEN:
+            found += [w for d in found for w in self.split(d)]
+        return [w for w in found if w]
+
+    def _split(self, word: str) -> list[str]:
+        """The likeliest words behind letters without boundaries between words; none if that is one word."""
+        cost, best, back = self.model.cost, [0.0] + [math.inf] * len(word), [0] * (len(word) + 1)
+        for i in range(len(word)):
+            state, price = "  ", best[i]
+            for j in range(i + 1, min(len(word), i + LONG_TOKEN) + 1):
+                price += cost(state, word[j - 1])
+                state = state[1] + word[j - 1]
+                total = price + cost(state, " ") - KNOWN_BONUS * (j - i > 3 and word[i:j] in self.known)
+                if total < best[j]:
+                    best[j], back[j] = total, i
+        out, at = [], len(word)
+        while at:
+            out.append(word[back[at] : at])
+            at = back[at]
+        return out[::-1] if len(out) > 1 else []
+
     def words(self, text: str) -> list[str]:
         """The words of a text and, where signs, spaces or repetition may hide others, those too."""
         low = text.lower()
@@ -140,16 +172,32 @@ class Restorer:
         if len(code) > 4:
             same = code[1:] == code[:-1]
             if (same[1:] & same[:-1] & (code[2:] > 96)).any():
-                out += [self.decode(w) for w in set(out) if len(w) <= LONG_TOKEN and REPEATED.search(w)]
+                for w in [w for w in set(out) if REPEATED.search(w)]:
+                    out += self.restored(w)
             gap = code == 32
             if (gap[:-4] & ~gap[1:-3] & gap[2:-2] & ~gap[3:-1] & gap[4:]).any() or (gap[1] and gap[3]):
                 for m in SPACED.finditer(low):
-                    token = SEPARATORS.sub("", m[0])
-                    if 3 <= len(token) <= LONG_TOKEN and not token.isdigit():
-                        out.append(self.decode(token))
+                    for part in spaced_words(m[0]):
+                        token = SEPARATORS.sub("", part)
+                        if len(token) > 2 and not token.isdigit():
+                            out += self.restored(token, glued=True)
         return out
 
 
+def spaced_words(run: str) -> list[str]:
+    """Single letters with separators between them, cut where gaps are wider, or blank where others aren't."""
+    gaps = GAPS.findall(run)
+    wide = {len(g) for g in gaps} == {1, 2}
+    blank = not wide and {not g.strip() for g in gaps} == {True, False}
+    out = [run[0]]
+    for g, letter in zip(gaps, GAPS.split(run)[1:], strict=True):
+        if wide and len(g) == 2 or blank and not g.strip():
+            out.append(letter)
+        else:
+            out[-1] += g + letter
+    return out if len(out) < 2 else [*out, run]
+
+
 def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     """Drops near copies from a training sample, whose words would count as often as there are copies."""
     seen: set[tuple[int, int]] = set()
