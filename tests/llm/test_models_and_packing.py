@@ -164,6 +164,13 @@ def test_restoring_long_tokens():
     assert "idiot" in model.words("baka_delo_rone_baka_delo_rone_baka_delo_1d10t_rone_baka_delo")
 
 
+@pytest.mark.parametrize(("hidden", "word"), [("i  d  i  o  t", "idiot"), ("i- d- i- o- t", "idiot"), ("704", "toa"), ("70@", "toa"), ("1d10t", "idiot"), ("idioot", "idiot"), ("scounddrel", "scoundrel")])
+def test_restoring_without_cheap_tests_before(hidden, word):
+    model = toxicity.Restorer(RESTORED + Counter({"toa": 9}), {*RESTORED, "toa"})
+    assert word in model.words(f"baka {hidden} delo")
+    assert model.words("2024") == []  # a number that reads as no known word
+
+
 def test_decoding_takes_the_best_path():
     counts = Counter({"idiot": 5, "toad": 3, "tool": 8})
     model = toxicity.Restorer(counts, set())

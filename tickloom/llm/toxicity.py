@@ -6,9 +6,10 @@ likeliest word, with a bonus for words known from training. The restored texts a
 beginnings of words, and a logistic regression over what the lexicon finds in a text. Character model, known words, lexicon and regression are all learned
 from a bounded sample of labelled documents (labels.py: `most`, `longest`); their size follows that bound.
 
-Tokens of plain letters are their own only reading and are not decoded. Tokens of more than LONG_TOKEN signs are decoded
-in stretches that overlap by half. Letters with gaps between them are cut at wider gaps, and what they give as a whole
-is cut into its likeliest words too.
+Plain words are their own only reading and are not decoded unless they have a letter three times in a row, or twice and
+aren't known. Tokens of more than LONG_TOKEN signs are decoded in stretches that overlap by half. Letters with gaps between
+them are cut at wider gaps, and what they give as a whole is cut into its likeliest words too. Tokens of signs alone that
+may all be letters are decoded; a number only counts as what it reads as if that is a known word.
 
 Defined cases: null text counts as empty; texts without words score as the regression's intercept says. Without any
 labels of either kind all scores are the share of label 1 (0 if there are none). Null doc_ids are scored; held_out is
@@ -44,6 +45,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*~]{1,2}){2,}[^\W_](?!\S)")
 EDGE = ".,;:?!\"'()[]{}<>…*%&#~^-_/\\"
 REPEATED = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
 RUNS = re.compile(r"(.)\1{3,}")
 GAPS = re.compile(r"[ .\-_*~]+")
 SEPARATORS = re.compile(r"[ .\-_*~]")
@@ -127,8 +129,14 @@ class Restorer:
         bare = LONG_RUN.sub("", token).strip(EDGE)
         if out and not bare.isalpha():
             out += self.restored(bare)
+        elif not out and bare and all(SIGNS.get(c) for c in bare):
+            out += self.hidden(bare)
         return out
 
+    def hidden(self, token: str) -> list[str]:
+        """The readings of a token without letters; a number stays one unless it reads as known words."""
+        return [w for w in self.restored(token) if w in self.known or not token.isdigit()]
+
     def restored(self, token: str, glued: bool = False) -> list[str]:
         """The word that a token hides, of a long one those of overlapping stretches. glued: several may stand together."""
         token = RUNS.sub(r"\1\1\1", token)
@@ -168,19 +176,16 @@ class Restorer:
                 odd.append(t)
         for t in odd:
             out += self.token(t)
-        code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(code) > 4:
-            same = code[1:] == code[:-1]
-            if (same[1:] & same[:-1] & (code[2:] > 96)).any():
-                for w in [w for w in set(out) if REPEATED.search(w)]:
-                    out += self.restored(w)
-            gap = code == 32
-            if (gap[:-4] & ~gap[1:-3] & gap[2:-2] & ~gap[3:-1] & gap[4:]).any() or (gap[1] and gap[3]):
-                for m in SPACED.finditer(low):
-                    for part in spaced_words(m[0]):
-                        token = SEPARATORS.sub("", part)
-                        if len(token) > 2 and not token.isdigit():
-                            out += self.restored(token, glued=True)
+        for w in set(out):
+            if REPEATED.search(w):
+                out += self.restored(w)
+            elif DOUBLED.search(w) and w not in self.known:
+                out += [x for x in self.restored(w) if x != w]
+        for m in SPACED.finditer(low):
+            for part in spaced_words(m[0]):
+                token = SEPARATORS.sub("", part)
+                if len(token) > 2:
+                    out += self.hidden(token) if token.isdigit() else self.restored(token, glued=True)
         return out
 
 
