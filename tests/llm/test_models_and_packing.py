@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickloom.llm import labels, lm, mixing, order_minhash, packing, quality, queries, toxicity
@@ -311,7 +312,7 @@ def test_ids_are_the_tokenizers(corpus):
 
     texts = ODD + [t or "" for _, t in corpus]
     plain = Tokenizer.from_file(tokenizer_file())
-    ids, count, marks = packing.Encoder(tokenizer_file())(texts)
+    ids, count, marks = packing.Encoder(tokenizer_file())(pa.array(texts))
     assert len(marks) == len(ids)
     for own, text in zip(np.split(ids, np.cumsum(count)[:-1]), texts, strict=True):
         assert own.tolist() == plain.encode(text, add_special_tokens=False).ids, text[:60]
@@ -354,22 +355,51 @@ def test_packing_odd_rows(docs):
     assert sorted((str(r.doc_id), r.length) for r in got) in ([("2", 2), ("2", 2), ("None", 1)], [("2", 1), ("2", 1), ("2", 2), ("None", 1)])
 
 
+def price(n: int, size: int) -> int:
+    return 0 if n & (n - 1) == 0 else size - n
+
+
 def test_cuts_are_the_best():
     rng = np.random.default_rng(8)
-    for _ in range(30):
-        pos = [0, *np.cumsum(rng.integers(1, 20, 12)).tolist()]
-        pen = [0, *rng.integers(0, 9, 12).tolist()]
-        size = 40
-        cost = [0] + [math.inf] * 12
-        for j in range(1, 13):
-            for i in range(j):
-                n = pos[j] - pos[i]
-                if n <= size:
-                    cost[j] = min(cost[j], cost[i] + size - n + pen[j])
-        ends = packing.best_cuts(pos, pen, size)
-        where = {p: k for k, p in enumerate(pos)}
-        got = sum((0 if (b - a) & (b - a - 1) == 0 else size - b + a) + pen[where[b]] for a, b in zip(ends, ends[1:], strict=False))
-        assert got <= cost[12] and ends[0] == 0 and ends[-1] == pos[-1] and all(b - a <= size for a, b in zip(ends, ends[1:], strict=False))
+    for size in (32, 40):
+        for _ in range(30):
+            pos = np.array([0, *np.cumsum(rng.integers(1, 20, 30))])
+            pen = np.array([0, *rng.integers(0, 9, 30)])
+            cost = [0] + [math.inf] * 30
+            for j in range(1, 31):
+                for i in range(j):
+                    n = int(pos[j] - pos[i])
+                    if n <= size:
+                        cost[j] = min(cost[j], cost[i] + price(n, size) + int(pen[j]))
+            ends = [0, *packing.way(packing.best_cuts(pos, pen, size), 30)]
+            steps = [(int(pos[b] - pos[a]), int(pen[b])) for a, b in zip(ends, ends[1:], strict=False)]
+            assert sum(price(n, size) + p for n, p in steps) == cost[30] and all(n <= size for n, _ in steps)
+
+
+def test_a_stream_in_parts_is_packed_like_the_whole():
+    rng = np.random.default_rng(9)
+    docs = [(i, rng.integers(0, 99, n).astype(np.int32), rng.random(n) < 0.05) for i, n in enumerate(rng.integers(1, 400, 300))]
+
+    def run(stream):
+        packer = packing.Packer(64, 8, (0, 2, 6), 0, stream)
+        rows = [r for d in docs for r in packer.add(*d)]
+        assert stream > 1 << 20 or rows  # some are given out before the end
+        return rows + list(packer.flush(True))
+
+    whole = run(1 << 30)
+    assert run(500) == whole == run(3000)
+    assert sum(r[2] for r in whole) == sum(len(d[1]) for d in docs)
+
+
+def test_packing_more_than_a_stream(docs):
+    rng = np.random.default_rng(10)
+    rows = [(i, " ".join(f"v{x}." for x in rng.integers(0, 50, 3000))) for i in range(12)]
+    got = packing.pack(docs(rows).coalesce(1), tokenizer_file(), stream=1 << 14).collect()
+    filled = Counter()
+    for r in got:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 2048 and sum(filled.values()) == sum({r.doc_id: r.doc_tokens for r in got}.values()) > 1 << 17
+    assert sum(price(n, 2048) for n in filled.values()) <= 0.01 * sum(filled.values())
 
 
 def test_pipeline(spark, docs, marked, label_table, tmp_path):
