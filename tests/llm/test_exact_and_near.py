@@ -158,7 +158,7 @@ def test_entries_apart_are_compared_once_and_with_all_of_their_band():
     assert got == [(0, 2)]
 
 
-def lines_expected(rows, window):
+def lines_expected(rows, window, long=200):
     first: dict[tuple, tuple] = {}
     places = {}
     for i, t in sorted(rows, key=lambda r: r[0]):
@@ -167,12 +167,16 @@ def lines_expected(rows, window):
         places[i] = lines, at
         for s in range(len(at) - window + 1):
             first.setdefault(tuple(lines[k] for k in at[s : s + window]), (i, at[s]))
+        for k in at:
+            if len(lines[k]) >= long:
+                first.setdefault(("long", lines[k]), (i, k))
     out = []
     for i, (lines, at) in places.items():
         gone = set()
         for s in range(len(at) - window + 1):
             if first[tuple(lines[k] for k in at[s : s + window])] < (i, at[s]):
                 gone.update(at[s : s + window])
+        gone.update(k for k in at if first.get(("long", lines[k]), (i, k)) < (i, k))
         out.append((i, len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return sorted(out)
 
@@ -192,9 +196,40 @@ def test_lines_odd_rows(docs):
     assert got == sorted([(1, 0, "a\nb\nc"), (1, 0, "a\nb\nc"), (None, 2, "x"), (2, 2, "d")], key=str)
 
 
-def test_lines_plan_has_no_python(docs):
-    plan = line_dedup.line_dedup(docs([(1, "a\nb")]))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+def test_long_lines_go_alone_and_heavy_ones_by_broadcast(docs, monkeypatch):
+    long = " ".join(f"v{i}" for i in range(60))
+    rows = [(i, f"own {i}\n{long}\nother {i}" if i % 3 else f"{long}\nboth\nlines {i % 2}") for i in range(40)] + [(90, long), (91, "own 1")]
+    for heavy in (1000, 2):
+        monkeypatch.setattr(line_dedup, "HEAVY", heavy)
+        assert sorted(map(tuple, line_dedup.line_dedup(docs(rows)).collect())) == lines_expected(rows, 2)
+
+
+def test_a_run_is_found_from_one_fingerprint(docs):
+    """Of three lines the middle one alone is selected where its hash is the least."""
+    import itertools
+
+    names = [f"line {i}" for i in range(30)]
+    hashes = {r.x: r.h for r in docs([(1, "\n".join(names))]).selectExpr("explode(split(text, '\n')) AS x").selectExpr("x", "xxhash64(x) AS h").collect()}
+    run = next(r for r in itertools.permutations(names, 3) if hashes[r[1]] < min(hashes[r[0]], hashes[r[2]]))
+    rows = [(1, "\n".join(run)), (2, "\n".join(run))]
+    picked = line_dedup.fingerprints(line_dedup.keys(docs(rows), "text", "doc_id"), 2, 200).collect()
+    assert [(r.id, r.line) for r in sorted(picked)] == [(1, 1), (2, 1)]
+    assert sorted(map(tuple, line_dedup.line_dedup(docs(rows)).collect())) == [(1, 3, 0, "\n".join(run)), (2, 3, 3, "")]
+
+
+def test_no_plan_of_lines_has_python(docs, monkeypatch):
+    plans = []
+    write = Scratch.write
+
+    def seen(self, df, name, **options):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(self, df, name, **options)
+
+    monkeypatch.setattr(Scratch, "write", seen)
+    plans.append(line_dedup.line_dedup(docs([(1, "a\nb"), (2, "a\nb")]))._jdf.queryExecution().toString())
+    assert len(plans) == 6
+    for plan in plans:
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def passages_expected(rows, size):
