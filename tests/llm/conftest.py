@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, score double, tokens string, key string, bucket string, lines string, p string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, score double, tokens string, key string, bucket string, lines string, p string, sha string, keep_id string, grouped int, rate double, copy int, text_read string, kept_id int, kept_hash int, gone string, grp int, h string, th string"
 
 
 def frame(spark, rows):
     """Documents with columns whose names the operators use themselves. rows: (doc_id, text)."""
-    return spark.createDataFrame([(i, t, "en", None, None, 7, None, "x", "y", "z", "l", "p") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", None, None, 7, None, "x", "y", "z", "l", "p", "s", "k", 1, 0.5, 2, "r", 3, 4, "g", 5, "h", "t") for i, t in rows], SCHEMA)
 
 
 @pytest.fixture

@@ -46,6 +46,8 @@ def test_exact_odd_rows(docs):
     assert got == sorted([(None, 2, 4, False), (3, 2, 4, False), (3, 2, 4, False), (2, 2, 4, True), (9, 9, 1, True), (None, None, 1, True)], key=str)
     kept = exact_dedup.drop_copies(docs(rows))
     assert kept.columns == docs([]).columns and sorted(map(str, [r.doc_id for r in kept.collect()])) == ["2", "9", "None"]
+    same = exact_dedup.drop_copies(docs([(3, "a b")] * 4 + [(5, "ab")] + [(None, "none")] * 3 + [(3, "other")])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in same) == [("3", "a b"), ("3", "other"), ("None", "none")]
 
 
 def test_trie_spills_and_keeps_everything():
@@ -115,8 +117,15 @@ def test_simhash_odd_rows(docs):
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_dedup(docs([(None, ""), (4, None), (2, " "), (7, "some words that differ from nothing"), (None, "alone among all the other rows")])).collect()}
     assert {(None, "0" * 16, 2), (4, "0" * 16, 2), (2, "0" * 16, 2)} <= got and (7, format(fingerprint("some words that differ from nothing"), "016x"), 7) in got
     assert sum(c is None for i, _, c in got if i is None) == 1
+    text = " ".join(f"v{i}" for i in range(400))  # one with a doc_id, one without, that differ a little
+    ends = (text + " end" * n for n in range(1, 60))
+    other = next(t for t in ends if 0 < bin(fingerprint(t) ^ fingerprint(text)).count("1") <= 4)
+    pair = simhash.simhash_dedup(docs([(8, text), (None, other)])).collect()
+    assert pair[0].fingerprint != pair[1].fingerprint and {r.component_id for r in pair} == {8}
     kept = simhash.keep_one(docs([(None, ""), (4, None), (2, " "), (7, "some words that differ")]))
-    assert kept.columns == docs([]).columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "7", "None"]
+    assert kept.columns == docs([]).columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "7"]
+    many = simhash.keep_one(docs([(None, "a b c d e f")] * 3 + [(4, "own words of another")] * 2 + [(4, "a third text of its own")]))
+    assert sorted((str(r.doc_id), r.text) for r in many.collect()) == [("4", "a third text of its own"), ("4", "own words of another"), ("None", "a b c d e f")]
     with pytest.raises(ValueError):
         simhash.simhash_dedup(docs([]), most=5)
 
@@ -263,6 +272,31 @@ def test_passages_odd_rows(docs):
     assert got == sorted([(None, 20, 0), (5, 20, 20), (5, 20, 20), (-3, 20, 0), (8, 1, 0), (9, 0, 0)], key=str)
 
 
+def test_long_words_of_structure_are_told_apart(docs):
+    """Thue-Morse words and their complements, which collide in polynomial hashes modulo a power of two."""
+    from tickloom.llm.common import WordHash
+
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    pair = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    head = " ".join(f"v{i}" for i in range(12))
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs([(1, f"{head} {pair[0]}"), (2, f"{head} {pair[1]}"), (3, f"{head} {pair[0]}")])).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+    for n in (1, 7, 8, 9, 64, 255, 256, 257, 2048):
+        words = [p[:n] for p in pair] + ["b" * n, "b" * (n + 1), "\0" * n]
+        data = np.frombuffer(" ".join(words).encode() + b" ", np.uint8)
+        end = np.flatnonzero(data == 32)
+        begin = np.concatenate([[0], end[:-1] + 1])
+        assert len(set(WordHash(11)(data, begin, end).tolist())) == len(set(words))
+
+
+def test_groups_are_those_of_sql(spark):
+    from tickloom.llm.common import long_hash
+
+    ids = np.array([0, 1, -1, 64, 1 << 62, -(1 << 63)], np.int64)
+    frame = spark.createDataFrame([(int(i),) for i in ids], "x long").selectExpr("xxhash64(x) AS h")
+    assert [r.h for r in frame.collect()] == long_hash(ids).tolist()
+
+
 def test_index_takes_batches_one_after_another(spark, docs):
     text = " ".join(f"v{i}" for i in range(15))
     index = substring_dedup.FingerprintIndex(spark, 13, 4, 1, most_runs=2)

@@ -18,27 +18,27 @@ from tickloom.llm.queries import tokenizer_file
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def signature_expected(text: str, k: int = 8, size: int = 64, least: int = 2) -> list[tuple]:
+def signature_expected(text: str, k: int = 8, size: int = 64, tuple_size: int = 2) -> list[tuple]:
     """The selected k-mers of each order, in text order, by the operator's own hashes and no short cuts."""
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    h = order_minhash.numbered(order_minhash.kmers(code, k)).tolist()
+    h = order_minhash.numbered(order_minhash.kmers(code, k))
     out = []
-    for j in range(size):
-        first = j * ((1 << 64) // size)
-        ranked = sorted(range(len(h)), key=lambda i: ((h[i] - first) % (1 << 64), i))
-        chosen = sorted((ranked * least)[:least])
-        out.append(tuple(h[i] for i in chosen))
+    for rank in order_minhash.ranks(h, size).tolist():
+        chosen = sorted((sorted(range(len(h)), key=lambda i: (rank[i], i)) * tuple_size)[:tuple_size])
+        out.append(tuple(h[chosen].tolist()))
     return out
 
 
 def test_signatures_select_the_least_of_each_order():
     rng = np.random.default_rng(2)
-    texts = ["", "ab", "abcdefgh", "ab" * 300, "".join(map(chr, rng.integers(97, 110, 3000))), "中文字" * 40 + "x"]
+    texts = ["", "ab", "abcdefgh", "ab" * 300, "".join(map(chr, rng.integers(97, 110, 3000))), "中文字" * 40 + "x", "".join(map(chr, rng.integers(97, 99, 9000)))]
+    texts += [texts[4][:2500] + texts[5], texts[6][100:]]
     for a in texts:
         for b in texts:
             x, y = signature_expected(a), signature_expected(b)
             same = np.array([p == q for p, q in zip(x, y, strict=True)])
-            assert ((order_minhash.signature(a) == order_minhash.signature(b)) == same).mean() > 0.98  # 16 bits a component
+            assert ((order_minhash.signature(a) == order_minhash.signature(b)) >= same).all()
+            assert ((order_minhash.signature(a) == order_minhash.signature(b)) != same).sum() <= 1  # 16 bits a component
 
 
 def test_occurrences_are_numbered_in_text_order():
@@ -54,6 +54,21 @@ def test_signatures_depend_on_order():
     assert swapped < 0.8 < order_minhash.likeness(order_minhash.signature(a), order_minhash.signature(a[:-8]))
 
 
+def test_likeness_falls_with_edits_and_orders_are_independent():
+    rng = np.random.default_rng(12)
+    text = "".join(map(chr, rng.integers(97, 123, 2000)))
+    likes = []
+    for edits in (0, 2, 10, 40, 200):
+        t = list(text)
+        for i in rng.choice(2000, edits, replace=False):
+            t[i] = "A"
+        likes.append(order_minhash.likeness(order_minhash.signature(text), order_minhash.signature("".join(t))))
+    assert likes[0] == 1 and all(a > b for a, b in zip(likes, likes[1:], strict=False)) and likes[-1] < 0.3
+    # A text of four k-mers has six pairs; independent orders choose them all.
+    h = order_minhash.numbered(order_minhash.kmers(np.arange(97, 108, dtype=np.uint32), 8))
+    assert len({tuple(x) for x in np.sort(order_minhash.least(h, 64, 2), axis=1).tolist()}) == 6
+
+
 def test_edited_pairs(docs, corpus):
     got = {r.doc_id: r for r in order_minhash.edited_pairs(docs(corpus)).collect()}
     rows = sorted(corpus)
@@ -138,6 +153,33 @@ def test_sample_is_bounded_and_leaves_out_what_is_held(docs, label_table, marked
     assert len(got) == 50 and not held & {t for t, _ in got} and got == labels.sample(rows.repartition(3), label_table, "toxic", learn, most=50)
 
 
+def test_sample_takes_one_text_a_doc_id_and_long_ones_too(docs, spark):
+    from pyspark.sql import functions as F
+
+    marks = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (3, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = docs([(1, "copy")] * 60 + [(1, "other"), (2, "x" * 50_000), (3, None)])
+    got = labels.sample(rows, marks, "toxic", F.lit(True), most=50)
+    assert len(got) == 3 and {len(t) for t, _ in got if t not in ("copy", "other")} == {0, 50_000}
+    assert sorted(len(t) for t, _ in labels.sample(rows, marks, "toxic", F.lit(True), signs=100)) in ([0, 4], [0, 5])
+
+
+def test_quality_knows_how_rare_a_label_is():
+    """Texts that say nothing are scored by the share of label 1, whatever the balance of training batches."""
+    rng = np.random.default_rng(14)
+    text = lambda: " ".join(rng.choice(["ba", "de", "mi", "ro"], 40))
+    model = quality.Network([(text(), int(i % 10 == 0)) for i in range(200)], steps=60)
+    score = model([text() for _ in range(200)])
+    assert abs(score.mean() - 0.1) < 0.08 and (score >= 0.5).mean() < 0.05
+
+
+def test_responses_are_those_of_a_plain_convolution():
+    rng = np.random.default_rng(15)
+    x, table = rng.integers(0, 256, (3, quality.CHUNK)).astype(np.uint8), rng.normal(size=(quality.WIDTH, 256, 4)).astype(np.float32)
+    got = quality.responses(x, table)
+    for i, at, f in ((0, 0, 0), (1, 17, 3), (2, quality.CHUNK - quality.WIDTH, 2)):
+        assert got[i, at, f] == pytest.approx(sum(table[k, x[i, at + k], f] for k in range(quality.WIDTH)), abs=1e-4)
+
+
 @pytest.mark.parametrize(("hidden", "word"), [("sc0undrel", "scoundrel"), ("s.c.o.u.n.d.r.e.l", "scoundrel"), ("fi3ndish", "fiendish"), ("fiendi$h", "fiendish"), ("fiendiiiiish", "fiendish")])
 def test_restoring(hidden, word):
     model = toxicity.Restorer(Counter({"scoundrel": 9, "fiendish": 9, "baka": 50, "delo": 50, "rone": 40}), {"scoundrel", "fiendish"})
@@ -172,6 +214,26 @@ def test_restoring_without_cheap_tests_before(hidden, word):
     assert model.words("2024") == []  # a number that reads as no known word
 
 
+def test_decoding_finds_known_words_among_many_paths():
+    rng = np.random.default_rng(13)
+    words = Counter({"".join(map(chr, rng.integers(97, 123, 6))): 1 for _ in range(300)})
+    model = toxicity.Restorer(words + Counter({"zqxjkv": 1}), {"zqxjkv"})
+    for token in ("zqx*kv", "z*x*k*", "z.q.x.j.k.v"):
+        best = min(everything(model, token, "zqxjkv"))
+        assert (model.decode(token) == best[1]) and (token != "zqx*kv" or best[1] == "zqxjkv")
+
+
+def everything(model, token, known):
+    """(cost, word) of all readings of a token."""
+    paths = [("", 0.0)]
+    for run in re.finditer(r"(.)\1*", token):
+        options = model.readings(run[1], len(run[0]))
+        paths = [(w + x, c + p) for w, c in paths for x, p in options + ([(known[len(w)], toxicity.HIDDEN)] if run[0] == "*" and known.startswith(w) and w != known and known[len(w)] not in model.letters else [])]
+    for w, c in paths:
+        s = f"  {w} "
+        yield c + sum(model.model.cost(s[i - 2 : i], s[i]) for i in range(2, len(s))) - toxicity.KNOWN_BONUS * (w in model.known), w
+
+
 def test_decoding_takes_the_best_path():
     counts = Counter({"idiot": 5, "toad": 3, "tool": 8})
     model = toxicity.Restorer(counts, set())
@@ -202,7 +264,6 @@ def lm_expected(rows):
     c = Counter(w for t in train for w in t)
     total, kinds = sum(c.values()), len(c)
     pairs = Counter(p for t in train for p in zip([None, *t[:-1]], t, strict=True))
-    pairs = {k: n for k, n in pairs.items() if n >= 2}
     weight = dict.fromkeys((v for v, _ in pairs), 1.0)
     for (v, _), n in pairs.items():
         weight[v] -= (n - 0.75) / c[v]
@@ -227,7 +288,7 @@ def test_lm(docs, corpus):
     found = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got), key=key)
     assert len(found) == len(want) and {r.train_tokens for r in got} == {total}
     for a, b in zip(found, sorted(want, key=key), strict=True):
-        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3]) and abs(a[4] - b[4]) / b[1] < 0.05, (a, b)
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3]) and abs(a[4] - b[4]) / b[1] < 0.02, (a, b)
 
 
 def test_query_keeps_pairs_seen_once(spark, docs, tmp_path):
@@ -269,7 +330,7 @@ def test_elias_fano(n, top):
 
 def test_mixing_meets_targets(docs, marked, label_table):
     rows = [(i, t) for i, t, _, _ in marked] + [(900, None), (901, " "), (None, "baka delo")]
-    got = mixing.mixing(docs(rows), label_table, targets=(0.1, 0.8, 0.02, 0.08), steps=60).collect()
+    got = mixing.mixing(docs(rows), label_table, targets=(0.1, 0.8, 0.02, 0.08)).collect()
     assert len(got) == len(rows)
     tokens = np.array([r.tokens for r in got], float)
     p, rate = np.array([r.p for r in got]), np.array([r.rate for r in got])
@@ -286,12 +347,12 @@ def test_mixing_solves_the_least_squares():
     tokens, p = rng.integers(1, 50, 60).astype(float), rng.dirichlet((0.3, 0.3, 0.3), 60)
     total, share, goal, pull = tokens.sum(), tokens @ p / tokens.sum(), np.array([0.6, 0.3, 0.1]), 0.001
     residuals, rate = np.zeros((0, 3)), 1 / (1 + pull)
-    for _ in range(600):
-        r = mixing.rates(tokens, p, residuals, rate, pull)
-        residuals = np.vstack([residuals, (goal - (tokens * r) @ p / total) / share])
-    r = mixing.rates(tokens, p, residuals, rate, pull)
+    for _ in range(200):
+        _, start = mixing.rates(tokens, p, residuals, rate, pull)
+        residuals = np.vstack([residuals, (goal - (tokens * start) @ p / total) / share])
+    r, _ = mixing.rates(tokens, p, residuals, rate, pull)
     gradient = p @ (((tokens * r) @ p / total - goal) / share) + pull * (r - 1)
-    assert np.abs(gradient[r > 0]).max() < 1e-2 and (gradient[r == 0] >= -1e-2).all()
+    assert np.abs(gradient[r > 0]).max() < 1e-3 and (gradient[r == 0] >= -1e-3).all()
     assert (tokens * r) @ p / total == pytest.approx(goal, abs=0.01)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import math
 import os
 import re
@@ -15,6 +17,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +38,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints", "tickloom")
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, one in the warehouse; in local mode, where all run on one machine, one among its temporary files.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return os.path.join(tempfile.gettempdir(), "checkpoints", "tickloom")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like the one given that no frame has, whatever the case of its letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def released(run):
+    """A task's function that gives memory back to the system when it ends, as workers are used for many tasks."""
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(it)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
+def long_hash(x: np.ndarray) -> np.ndarray:
+    """XXH64 of integers with seed 42, as the SQL function xxhash64 gives of a long."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: v << np.uint64(n) | v >> np.uint64(64 - n)
+    h = np.uint64(42) + p5 + np.uint64(8) ^ turn(x.astype(np.int64).view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return (h ^ h >> np.uint64(32)).view(np.int64)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -93,7 +136,7 @@ def plan_bytes(df: DataFrame) -> int:
 def parts(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
     """Partitions for a shuffle of df: at least the session's count, more where the input asks for it."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 16, math.ceil(plan_bytes(df) / task_bytes)))
+    return max(least, math.ceil(plan_bytes(df) / task_bytes))
 
 
 def batches(it: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -135,16 +178,9 @@ def odd(seed: int) -> np.uint64:
     return np.uint64(int(mix(np.array([seed + 1], np.uint64))[0]) | 1)
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(max(n, 1), np.uint64)
-    have = 1
-    while have < n:
-        step = np.uint64(pow(int(base), have, 1 << 64))
-        out[have : 2 * have] = out[: min(have, n - have)] * step
-        have *= 2
-    return out
-
+#: Bytes of a word that is hashed by chunks; and masks of the bytes of a chunk, by their number.
+LONG_WORD = 256
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -157,20 +193,37 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordHash:
-    """64-bit hashes of words, for a whole byte array at once: sums of random byte values times powers of an odd base."""
+    """64-bit hashes of words, for a whole byte array at once.
+
+    A word's eight-byte chunks (the last one padded with zeros) are each mixed together with a random number for their
+    place in the word; the sum, with the word's length, is mixed again. Words over LONG_WORD bytes are hashed by XXH64.
+    """
 
     def __init__(self, seed: int):
-        self.base = odd(2 * seed)
-        self.back = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.values = mix(np.arange(256, dtype=np.uint64) + odd(2 * seed + 1))
-        self.up = self.down = np.ones(1, np.uint64)
+        self.seed = seed
+        self.places = mix(np.arange(1, LONG_WORD // 8 + 1, dtype=np.uint64) * odd(2 * seed) + odd(2 * seed + 1))
 
     def __call__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(self.up) < len(data) + 1:
-            self.up, self.down = powers(self.base, len(data) + 1), powers(self.back, len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.up[: len(data)], out=total[1:])
-        return mix((total[end] - total[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+        chunks = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+        length = (end - begin).astype(np.int64)
+        total = np.zeros(len(begin), np.uint64)
+        left = np.flatnonzero(length > 0)
+        far = np.flatnonzero(length > LONG_WORD)
+        if len(far):
+            left = left[length[left] <= LONG_WORD]
+        for place, step in zip(self.places, range(0, LONG_WORD, 8), strict=True):
+            if not len(left):
+                break
+            got = np.ascontiguousarray(chunks[begin[left] + step]).view(np.uint64).ravel()
+            have = length[left] - step
+            short = have < 8
+            got[short] &= MASKS[have[short]]
+            total[left] += mix(got + place)
+            left = left[~short & (have > 8)]
+        out = mix(total + length.astype(np.uint64) * odd(2 * self.seed))
+        for i in far.tolist():
+            out[i] = xxhash.xxh64_intdigest(data[begin[i] : end[i]].tobytes(), self.seed)
+        return out
 
 
 def rolling(h: np.ndarray, k: int, seed: int) -> np.ndarray:

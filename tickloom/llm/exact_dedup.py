@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import SPACES, batches, parts
+from tickloom.llm.common import SPACES, Scratch, batches, fresh, parts, released
 
 LAST = (1 << 63) - 1
 OWNER = "sha binary, norm binary, len long, h long, n long, id long, rows long"
@@ -180,7 +180,7 @@ def grouped(most: int, norms: bool):
                 trie = Trie(most)
         yield from give(trie.items(), norms)
 
-    return run
+    return released(run)
 
 
 def keys(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -220,12 +220,19 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mos
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that stay, with all their columns. Of rows that repeat both doc_id and text all stay."""
-    sha = F.unhex(F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, ""), 256))
-    marked = docs.withColumn("__sha", sha)
-    owned = owners(docs, text, doc_id).select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__group"))
-    kept = F.col("__group").isNull() | F.col("__keep").eqNullSafe(F.col(doc_id))
-    return marked.join(owned.hint("merge"), "__sha", "left").where(kept).select(*docs.columns)
+    """The documents that stay, with all their columns: one row of each group of equal texts.
+
+    Where rows repeat a doc_id (or have none) several may be called for; then any one of them stays.
+    """
+    sha, keep, group = fresh("sha", docs), fresh("keep_id", docs), fresh("grouped", docs)
+    marked = docs.withColumn(sha, F.unhex(F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, ""), 256)))
+    owned = owners(docs, text, doc_id).select(F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.lit(True).alias(group))
+    found = marked.join(owned.hint("merge"), sha, "left").where(F.col(group).isNull() | F.col(keep).eqNullSafe(F.col(doc_id)))
+    if docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return found.select(*docs.columns)
+    found = Scratch(docs.sparkSession, "copies").write(found, "kept")
+    several = found.where(F.col(group).isNotNull()).dropDuplicates([sha])
+    return found.where(F.col(group).isNull()).unionByName(several).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

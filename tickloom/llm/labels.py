@@ -2,7 +2,7 @@
 
 A sample holds at most `most` labelled documents, chosen by the smallest hashes of their doc_ids among the rows that
 may be learned from, so it is the same on every run and does not depend on how the tables are dealt. `most` and
-`longest` bound what reaches the driver; scoring has no such bounds and reads every whole text.
+`signs` bound what reaches the driver; scoring has no such bounds and reads every whole text.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that a classifier learns from at most, and code points of a text that may be among them.
-MOST, LONGEST = 4000, 20_000
+#: Labelled documents that a classifier learns from at most, and code points that they may have in all.
+MOST, SIGNS = 4000, 64_000_000
 
 
 def remainder(doc_id: F.Column, fold: int) -> F.Column:
@@ -26,16 +26,27 @@ def remainders(doc_ids: list, fold: int) -> list[int | None]:
     return [None if i is None else zlib.crc32(str(i).encode()) % fold for i in doc_ids]
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, text: str = "text", doc_id: str = "doc_id", most: int = MOST, longest: int = LONGEST) -> list[tuple[str, int]]:
-    """(text, label) of labelled documents for which `learn`, a condition on the column doc_id, holds."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, text: str = "text", doc_id: str = "doc_id", most: int = MOST, signs: int = SIGNS) -> list[tuple[str, int]]:
+    """(text, label) of labelled documents for which `learn`, a condition on the column doc_id, holds.
+
+    There is one row for each doc_id: of several texts with one doc_id the one with the least hash, of several labels
+    the largest. Rows are taken in the order of a hash of their doc_ids, `most` of them and no more than `signs` code
+    points in all; a text that would go beyond that is left out, and the next ones are tried.
+    """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     marks = marks.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
     both = marks.groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.char_length("text") <= longest)
-    ids = rows.select("doc_id").join(both, "doc_id").select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    few = docs.sparkSession.createDataFrame(ids.toPandas(), "doc_id long, y int")  # at most `most` rows
-    got = rows.join(F.broadcast(few), "doc_id").select("text", "y", "doc_id").toPandas()
-    got = got.sort_values(["doc_id", "text"])
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = rows.select("doc_id", F.xxhash64("text").alias("h"), F.char_length("text").cast("long").alias("n"))
+    one = size.join(both, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct("h", "n")).alias("of"))
+    ids = one.select("doc_id", "y", "of.h", "of.n").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
+    take, held = [], 0
+    for n in ids["n"].tolist():
+        take.append(held + n <= signs)
+        held += n * take[-1]
+    few = docs.sparkSession.createDataFrame(ids[["doc_id", "h", "y"]][np.array(take, bool)], "doc_id long, h long, y int")  # at most `most` rows
+    got = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("text", "y", "doc_id").toPandas()
+    got = got.sort_values("doc_id")
     return list(zip(got["text"], got["y"].astype(int), strict=True))
 
 

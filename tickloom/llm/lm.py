@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import LOWER, Scratch, WordHash, batches, mix, parts, plan_bytes, shuffles_dropped, utf8, word_hashes
+from tickloom.llm.common import LOWER, Scratch, WordHash, batches, mix, parts, plan_bytes, released, shuffles_dropped, utf8, word_hashes
 from tickloom.llm.labels import remainder
 
 SEED = 41
@@ -297,7 +297,7 @@ def counted(each, bounds: np.ndarray, most: int = 3 << 20):
         if held:
             yield dealt(*summed(keys, counts), bounds)
 
-    return run
+    return released(run)
 
 
 def gathered(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
@@ -396,7 +396,7 @@ class Model:
         self.scratch.drop()
 
 
-def train(docs: DataFrame, text: str = "text", least: int = 2, discount: float = 0.75) -> Model:
+def train(docs: DataFrame, text: str = "text", least: int = 1, discount: float = 0.75) -> Model:
     """Counts the model over all documents given and writes its levels to the shared folder."""
     scratch = Scratch(docs.sparkSession, "lm")
     path = f"{scratch.path}/levels"
@@ -442,8 +442,9 @@ def scores(model: Model, docs: DataFrame, text: str = "text", doc_id: str = "doc
             with np.errstate(divide="ignore"):
                 own = np.log10(facts.single(seen))[which]
             both = np.flatnonzero((v >= 0) & (w >= 0))
-            key, at = np.unique(v[both] * np.int64(max(1, facts.words)) + w[both], return_inverse=True)
-            found, weight = trie.successors(key // max(1, facts.words), key % max(1, facts.words))
+            many = np.uint64(max(1, facts.words))  # pairs of 32-bit ids need all 64 bits
+            key, at = np.unique(v[both].astype(np.uint64) * many + w[both].astype(np.uint64), return_inverse=True)
+            found, weight = trie.successors((key // many).astype(np.int64), (key % many).astype(np.int64))
             score = own.copy()
             score[both] = np.where(np.isnan(found), weight, found)[at] + np.where(np.isnan(found)[at], own[both], 0.0)
             lone = np.flatnonzero((v >= 0) & (w < 0))
@@ -454,10 +455,10 @@ def scores(model: Model, docs: DataFrame, text: str = "text", doc_id: str = "doc
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(total[0].astype(np.int64)), pa.array(total[1]), pa.array(total[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return rows.mapInArrow(released(run), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def lm_scores(docs: DataFrame, fold: int = 7, held: int = 2, text: str = "text", doc_id: str = "doc_id", least: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, fold: int = 7, held: int = 2, text: str = "text", doc_id: str = "doc_id", least: int = 1) -> DataFrame:
     """Scores of all documents by a model of those whose crc32 of the doc_id modulo fold isn't held."""
     learn: Column = remainder(F.col(doc_id), fold)
     model = train(docs.where(F.coalesce(learn != held, F.lit(False))), text, least)

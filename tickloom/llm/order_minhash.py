@@ -2,9 +2,8 @@
 
 The k-mers of a text (k code points) are numbered by occurrence and hashed. For each of `size` orders the `tuple_size`
 least are selected, put back into the order in which they stand in the text, and hashed together: one component of the
-signature. So components change with the edit distance, not only with the set of k-mers. The orders are rotations of
-one hash order: order j ranks by (hash - j * 2**64 / size) modulo 2**64, which needs one hash and one sort of a text.
-The likeness of two fingerprints is the share of components that are equal.
+signature. So components change with the edit distance, not only with the set of k-mers. An order ranks the k-mers'
+hashes by its own odd multiple and shift of them, so the orders are independent of each other. The likeness of two fingerprints is the share of components that are equal.
 
 edited_pairs() compares each document with the next one in the order of doc_id and with an edited text that the two
 make. Documents are dealt by ranges of doc_id; the first of each range is given to the range before as well.
@@ -25,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import batches, mix, odd, parts
+from tickloom.llm.common import batches, mix, odd, parts, released
 
 K, SIZE, TUPLE = 8, 64, 2
+#: K-mers that are ranked at a time, which bounds the memory for very long texts.
+BLOCK = 4096
+#: Ranges of doc_id and tasks at most; beyond about 800 GB of documents tasks grow, and are read as sorted streams.
+MOST_RANGES, MOST_TASKS = 1 << 17, 1 << 16
 FIRST = -(1 << 63)
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -63,27 +66,40 @@ def numbered(h: np.ndarray) -> np.ndarray:
     return mix(h + occurrence * odd(32))
 
 
+def ranks(h: np.ndarray, size: int) -> np.ndarray:
+    """The ranks of hashes in each of `size` orders, (orders, hashes): an odd multiple of their upper halves, and a shift."""
+    own = mix(np.arange(1, size + 1, dtype=np.uint64) * odd(34))
+    factor, shift = (own >> np.uint64(32)).astype(np.uint32) | np.uint32(1), own.astype(np.uint32)
+    out = (h >> np.uint64(32)).astype(np.uint32)[None, :] * factor[:, None]
+    out += shift[:, None]
+    return out
+
+
+def least(h: np.ndarray, size: int, tuple_size: int) -> np.ndarray:
+    """Where the least ranks of each order are, (orders, tuple_size); with fewer hashes than that, some twice."""
+    row = np.arange(size)
+    values, places = [], []
+    for at in range(0, len(h), BLOCK):
+        v = ranks(h[at : at + BLOCK], size)
+        for _ in range(min(tuple_size, v.shape[1])):
+            i = v.argmin(axis=1)
+            values.append(v[row, i])
+            places.append(at + i)
+            v[row, i] = np.uint32(0xFFFFFFFF)
+    places, values = np.stack(places, 1), np.stack(values, 1)
+    if len(h) > BLOCK:
+        places = np.take_along_axis(places, np.argsort(values, axis=1, kind="stable"), 1)
+    return places[:, np.arange(tuple_size) % min(len(h), places.shape[1])]
+
+
 def signature(text: str, k: int = K, size: int = SIZE, tuple_size: int = TUPLE) -> np.ndarray:
     """The components of a text's fingerprint, as 16-bit integers."""
     h = numbered(kmers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), k))
-    step = np.uint64((1 << 64) // size)
-    start = np.arange(size, dtype=np.uint64) * step
-    chosen = None
-    if len(h) > 2048:  # few of each order's share of hashes are enough to hold its least ones
-        few = np.flatnonzero(h % step < np.uint64(int(step) * (16 * size) // len(h)))
-        order = few[np.argsort(h[few])]
-        first = np.searchsorted(h[order], start)
-        if (np.diff(np.append(first, len(order))) >= tuple_size).all():
-            chosen = order[first[:, None] + np.arange(tuple_size)]
-    if chosen is None:
-        order = np.argsort(h)
-        first = np.searchsorted(h[order], start)
-        chosen = order[(first[:, None] + np.arange(tuple_size)) % len(order)]
-    chosen = np.sort(chosen, axis=1)
-    out = np.zeros(size, np.uint64)
+    chosen = np.sort(least(h, size, tuple_size), axis=1)
+    out = np.arange(size, dtype=np.uint64)
     for i in range(tuple_size):
         out = out * odd(33) + h[chosen[:, i]]
-    return (mix(out + start) >> np.uint64(48)).astype(np.uint16)
+    return (mix(out) >> np.uint64(48)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -110,7 +126,7 @@ def compared(k: int, size: int, tuple_size: int):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return run
+    return released(run)
 
 
 def buckets(key: F.Column, bounds: list[int]) -> F.Column:
@@ -121,20 +137,23 @@ def buckets(key: F.Column, bounds: list[int]) -> F.Column:
     def below(values: F.Column) -> F.Column:
         return F.size(F.filter(values, lambda x: x < key))
 
-    heads = F.array(*[F.lit(g[0]).cast("long") for g in groups if g]).cast("array<long>")
+    def listed(values: list) -> F.Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>") if values else F.array().cast("array<long>")
+
+    heads = listed([g[0] for g in groups if g])
     coarse = F.greatest(below(heads) - 1, F.lit(0))
-    fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]).cast("array<long>") for g in groups])
+    fine = F.array(*[listed(g) for g in groups])
     return (coarse * wide + below(F.get(fine, coarse))).cast("int")
 
 
 def edited_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = K, size: int = SIZE, tuple_size: int = TUPLE) -> DataFrame:
     """One row for each document, see SCHEMA: its fingerprint, that of its edited text, and the likenesses."""
     spark = docs.sparkSession
-    n = min(parts(docs, 12 << 20), 1 << 13)
+    n = min(parts(docs, 12 << 20), MOST_TASKS)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(FIRST)))
     # Several ranges a partition, so that those which hashing deals to one partition come to about the same everywhere.
-    ranges = 8 * n if n > 1 else 1
+    ranges = min(8 * n, MOST_RANGES) if n > 1 else 1
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
     bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))}) if n > 1 else []
     rows = rows.withColumn("bucket", buckets(F.col("key"), bounds))

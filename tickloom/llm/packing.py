@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import batches
+from tickloom.llm.common import batches, released
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SIZE = 2048
@@ -201,7 +201,7 @@ class Encoder:
     which is a token run of its own. Ids of the different roots are kept, up to a number of them.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.words, self.most = Words(path), most
         self.clear()
 
@@ -417,7 +417,7 @@ def packer(path: str, size: int, step: int, penalties: tuple[int, int, int], clo
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
         rows: list[tuple] = []
-        for b in batches(it, "text", 4 << 20):
+        for b in batches(it, "text", 3 << 20):
             ids, count, marks = encode(pc.fill_null(b.column("text").cast(pa.string()), ""))
             end = np.cumsum(count)
             for doc_id, e, n in zip(b.column("doc_id").to_pylist(), end, count, strict=True):
@@ -430,7 +430,7 @@ def packer(path: str, size: int, step: int, penalties: tuple[int, int, int], clo
         if rows:
             yield out(rows)
 
-    return run
+    return released(run)
 
 
 def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, step: int = STEP, penalties: tuple[int, int, int] = PENALTIES, close: int = 1, stream: int = STREAM) -> DataFrame:

@@ -4,7 +4,7 @@ A text's UTF-8 bytes are cut into chunks of CHUNK bytes that overlap by a filter
 last one ends where the text ends). Filters learned over WIDTH bytes each give their largest response in a chunk; with
 the chunk's share of distinct byte 8-grams they feed a hidden layer, whose units are max-pooled over all chunks and
 combined into one probability. Parameters are fitted by Adam on the driver from a bounded sample of labelled documents
-(labels.py: `most`, `longest`), on up to CHUNKS random chunks of a document at a time; scoring reads every chunk.
+(labels.py), on up to CHUNKS random chunks of a document at a time; scoring reads every chunk.
 
 Defined cases: null text counts as empty and is scored as one chunk of padding. Without labels of both kinds all scores
 are the share of label 1 (0.5 if there are none). Null doc_ids are scored; held_out is null for them. Rows that repeat
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import odd
-from tickloom.llm.labels import LONGEST, MOST, remainder, sample, sigmoid
+from tickloom.llm.labels import MOST, remainder, sample, sigmoid
 from tickloom.llm.toxicity import scored
 
 CHUNK, WIDTH, FILTERS, HIDDEN, CHUNKS = 512, 6, 16, 8, 6
@@ -98,7 +98,6 @@ class Network:
             edge = np.flatnonzero(np.diff(owner, prepend=-1))
             pooled = np.maximum.reduceat(z, edge)
             p = sigmoid(pooled @ self.w + self.c)
-            # The chosen balance of kinds is undone by the prior, which the intercept takes up after training.
             d = ((p - y) / len(y)).astype(np.float32)
             gw, gc = pooled.T @ d, d.sum(keepdims=True)
             gp = d[:, None] * self.w
@@ -119,6 +118,8 @@ class Network:
                 mm += 0.1 * (g - mm)
                 vv += 0.01 * (g * g - vv)
                 q -= decay * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.99**step)) + 1e-7)
+        # Batches have as many rows of either kind; the intercept takes up the odds that the kinds really have.
+        self.c += np.float32(np.log(self.share / (1 - self.share)))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if not self.fitted:
@@ -141,10 +142,10 @@ class Network:
         return sigmoid(out @ self.w + self.c)
 
 
-def quality(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, text: str = "text", doc_id: str = "doc_id", most: int = MOST, longest: int = LONGEST) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1, text: str = "text", doc_id: str = "doc_id", most: int = MOST) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; labels are learned only where crc32 mod fold isn't held."""
     learn: Column = remainder(F.col("doc_id"), fold) != held
-    model = Network(sample(docs, labels, "quality", learn, text, doc_id, most, longest))
+    model = Network(sample(docs, labels, "quality", learn, text, doc_id, most))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     result = scored(rows, model)
     return result.select("doc_id", (remainder(F.col("doc_id"), fold) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -12,7 +12,7 @@ forests again. Components follow from the forests by star contraction (component
 
 Defined cases: null text counts as empty. A text with fewer words than a shingle has makes one shingle of all; a text
 without words has fingerprint zero, which is linked like any other. Rows that repeat a doc_id are rows of their own;
-rows with a null doc_id get a fingerprint and, as component_id, the smallest doc_id of the component, or null.
+rows with a null doc_id link like others and get, as component_id, the smallest doc_id of the component, or null.
 An empty table gives an empty result.
 """
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import LOWER, WORD, Scratch, WordHash, batches, mix, odd, parts, rolling, utf8, word_hashes
+from tickloom.llm.common import LOWER, WORD, Scratch, WordHash, batches, fresh, mix, odd, released, rolling, utf8, word_hashes
 from tickloom.llm.components import components
 
 SEED = 42
@@ -235,9 +235,11 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
         raise ValueError("three segments find up to 4 differing bits")
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.write(fingerprints(docs, text, doc_id, size), "fingerprints")
-    rows = scratch.write(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "entries")
-    low = components(link_forests(rows, scratch, most, block), scratch)
-    named = rows.join(low.select(F.col("b").alias("id"), "a"), "id", "left").select("fp", F.coalesce("a", "id").alias("component_id"))
+    # A fingerprint is its own number in the graph, so those that only rows without a doc_id have link others too.
+    rows = scratch.write(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "entries")
+    low = components(link_forests(rows.select("fp", F.col("fp").alias("id")), scratch, most, block), scratch)
+    rooted = scratch.write(rows.join(low.select(F.col("b").alias("fp"), "a"), "fp", "left").select("fp", "least", F.coalesce("a", "fp").alias("root")), "rooted")
+    named = rooted.drop("least").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     result = marked.join(named, "fp", "left")
     return result.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -274,7 +276,7 @@ def set_rows(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(ids.view(np.int64)), keys], names=["doc_id", "th", "set", "keys"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, set long, keys array<long>")
+    return rows.mapInArrow(released(run), "doc_id long, th long, set long, keys array<long>")
 
 
 def text_hash(text: str) -> Column:
@@ -367,7 +369,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, size:
     wanted = marked.join(shared.select(F.col("id").alias("set")).distinct(), "set", "left_semi").groupBy("set").agg(F.min(F.struct("th", "keys")).alias("of"))
     wanted = wanted.select("set", "of.*")
     texts = docs.select(text_hash(text).alias("th"), F.col(text).alias("text"))
-    sets = scratch.write(texts.join(wanted.hint("merge"), "th").select("set", "keys", "text").mapInArrow(shingles, "set long, keys array<long>, shingles binary").dropDuplicates(["set"]), "shingles")
+    sets = scratch.write(texts.join(wanted.hint("merge"), "th").select("set", "keys", "text").mapInArrow(released(shingles), "set long, keys array<long>, shingles binary").dropDuplicates(["set"]), "shingles")
 
     tried = scratch.write(close.select("a", "b").distinct(), "tried")
     links = scratch.write(alike(tried, sets, share), "alike")
@@ -384,7 +386,10 @@ def near_copies(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, size:
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, share: float = 0.8) -> DataFrame:
-    """Of documents that near copies connect the one with the smallest doc_id, with all its columns; null doc_ids stay.
+    """Of documents that near copies connect the one with the smallest doc_id, with all its columns.
+
+    A null doc_id comes after all others; of several texts with the smallest doc_id the one with the least hash stays,
+    and of rows that repeat both any one.
 
     Near copies have sets of word shingles with a Jaccard similarity of `share` or more. The fingerprints of such texts
     differ by about 10 of 64 bits and by 13 or more often enough, which segments can't find without comparing nearly
@@ -392,6 +397,12 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
     2e7), and sets are compared whole. Neighbours of each band are compared first; of the rest only what isn't connected by then.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    found = near_copies(docs, scratch, text, doc_id, size, share).where("doc_id IS NOT NULL")
-    kept = found.groupBy("component").agg(F.min("doc_id").alias("__kept")).select("__kept").distinct()
-    return docs.join(kept.hint("merge"), F.col(doc_id) == F.col("__kept"), "left").where(F.col("__kept").isNotNull() | F.col(doc_id).isNull()).select(*docs.columns)
+    found = near_copies(docs, scratch, text, doc_id, size, share).withColumn("none", F.col("doc_id").isNull())
+    order = F.struct("none", "doc_id", "th")
+    kept = found.groupBy("component").agg(F.min(order).alias("of")).select("of.doc_id", "of.th")
+    own_id, own_th = fresh("kept_id", docs), fresh("kept_hash", docs)
+    kept = kept.distinct().select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th))
+    out = docs.join(kept.hint("merge"), F.col(own_id).eqNullSafe(F.col(doc_id).cast("long")) & (F.col(own_th) == text_hash(text)))
+    if found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return out.select(*docs.columns)
+    return out.dropDuplicates([own_id, own_th]).select(*docs.columns)

@@ -1,7 +1,8 @@
 """Removal of repeated passages with a log-structured index of window fingerprints.
 
 A window is `size` consecutive words of a document. The index holds, in buckets of the hash space, immutable runs of
-sorted window fingerprints: a 64-bit hash to merge by and a second, independent 32-bit one to verify a match with. A
+sorted window fingerprints: a 64-bit hash to merge by and a second, independent 32-bit one to verify a match with (96
+bits in all: among 1e14 windows a wrong match is expected 0.1 times). A
 new batch of documents is hashed, its fingerprints are dealt by bucket and merge-joined with each historical run and
 with each other; what was not there before becomes a further run. When an index has `most_runs` runs, the next batch
 merges them into one. Runs are a bucketed table, so that they are never shuffled again; the batch alone is.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WORD, Scratch, WordHash, batches, parts, plan_bytes, rolling, shuffles_dropped, utf8, word_hashes
+from tickloom.llm.common import WORD, Scratch, WordHash, batches, long_hash, parts, plan_bytes, released, rolling, shuffles_dropped, utf8, word_hashes
 
 #: Seeds of the hash that buckets, sorts and merges, and of the one that verifies.
 MERGE, VERIFY = 11, 12
@@ -47,8 +48,8 @@ def windows(texts: list[bytes], size: int, hashers: list[WordHash]) -> tuple[lis
 
 
 def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    """The group of a doc_id; as pmod(doc_id, groups) in SQL."""
-    return (doc % groups).astype(np.int32)
+    """The group of a doc_id; as pmod(xxhash64(doc_id), groups) in SQL."""
+    return (long_hash(doc) % groups).astype(np.int32)
 
 
 def answers(doc: np.ndarray, h: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -89,7 +90,7 @@ def batch_windows(size: int, buckets: int, groups: int):
                 kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "h", "tag", "doc", "docs"])
 
-    return run
+    return released(run)
 
 
 def column(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
@@ -163,11 +164,13 @@ class FingerprintIndex:
         spark, compact = self.spark, keep and self.runs >= self.most_runs
         dealt = docs.mapInArrow(batch_windows(self.size, self.buckets, self.groups), BUCKET).repartition(self.buckets, "bucket")
         if self.runs:
-            old = spark.table(self.tables[-1]).where("kind = 'run'").select("bucket", "h", "tag")
+            old = spark.table(self.tables[0]).where("kind = 'run'").select("bucket", "h", "tag")
         else:
             old = spark.createDataFrame([], "bucket int, h binary, tag binary")
         found = dealt.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(merge(compact, self.groups, keep), FOUND)
-        name = self.tables[-1] if self.runs and not compact else f"{self.name}_{self.batch}"
+        name = self.tables[0] if self.runs and not compact else f"{self.name}_{self.batch}"
+        if keep and name not in self.tables:
+            self.tables.append(name)  # so that it goes even if writing it fails
         written = found.withColumn("batch", F.lit(self.batch))
         with shuffles_dropped(spark):
             if keep:
@@ -179,8 +182,8 @@ class FingerprintIndex:
         if not keep:
             self.scratch.drop(f"last{self.batch}")
         if keep:
-            if compact:
-                self.spark.sql(f"DROP TABLE {self.tables.pop()}")
+            for old_name in self.tables[:-1]:
+                self.spark.sql(f"DROP TABLE IF EXISTS {old_name}")
             self.runs = 1 if compact else self.runs + 1
             self.tables = [name]
         self.batch += 1
@@ -236,14 +239,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     index = FingerprintIndex(spark, size, max(1, size_bytes >> 20), groups, most_runs)
     # Batches by ranges of doc_id, so that all history has smaller doc_ids. The bounds only balance the batches.
     bounds = sorted(set(known_ids.approxQuantile("doc_id", [k / batch_count for k in range(1, batch_count)], 0.01))) if batch_count > 1 else []
-    for k in range(len(bounds) + 1):
-        part = known_ids
-        if k:
-            part = part.where(F.col("doc_id") > int(bounds[k - 1]))
-        if k < len(bounds):
-            part = part.where(F.col("doc_id") <= int(bounds[k]))
-        index.add(part, keep=k < len(bounds))
-    index.drop()
-    grp = F.coalesce(F.pmod("doc_id", F.lit(groups)), F.lit(0)).cast("int").alias("grp")
+    try:
+        for k in range(len(bounds) + 1):
+            part = known_ids
+            if k:
+                part = part.where(F.col("doc_id") > int(bounds[k - 1]))
+            if k < len(bounds):
+                part = part.where(F.col("doc_id") <= int(bounds[k]))
+            index.add(part, keep=k < len(bounds))
+    finally:
+        index.drop()
+    # Rows without a doc_id have no answers and are dealt by their texts.
+    grp = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(groups)).cast("int").alias("grp")
     left = rows.select(grp, "doc_id", "text").repartition(groups, "grp")
     return left.groupBy("grp").cogroup(index.answers().groupBy("grp")).applyInArrow(cleaned(size, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -2,9 +2,10 @@
 
 Writers hide words by look-alike signs, spaces between letters, separators and repeated letters. A token that shows any
 of these becomes a lattice of readings with channel costs; Viterbi decoding under a character trigram model finds the
-likeliest word, with a bonus for words known from training. The restored texts are scored by a lexicon of words and
+likeliest word, with a bonus for words known from training; a hidden letter (*) is one of the 40 commonest, or any that
+goes on with a known word. The restored texts are scored by a lexicon of words and
 beginnings of words, and a logistic regression over what the lexicon finds in a text. Character model, known words, lexicon and regression are all learned
-from a bounded sample of labelled documents (labels.py: `most`, `longest`); their size follows that bound.
+from a bounded sample of labelled documents (labels.py); their size follows that bound.
 
 Plain words are their own only reading and are not decoded unless they have a letter three times in a row, or twice and
 aren't known. Tokens of more than LONG_TOKEN signs are decoded in stretches that overlap by half. Letters with gaps between
@@ -31,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import batches
-from tickloom.llm.labels import LONGEST, MOST, logistic, remainder, sample, sigmoid
+from tickloom.llm.common import batches, fresh, released
+from tickloom.llm.labels import MOST, logistic, remainder, sample, sigmoid
 
 #: Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "§": "s", "¡": "i", "&": "", "*": "", "#": "", "%": ""}
@@ -40,7 +41,10 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: run together. And what a reading gains that is a known word of four letters or more.
 READ, DROP, SKIP, HIDDEN, RUN = 0.5, 5.0, 1.0, 3.0, 0.5
 KNOWN_BONUS = 7.0
+#: Signs of a stretch that is decoded at a time; longer tokens are decoded in stretches that overlap by half.
 LONG_TOKEN = 40
+#: Where a path has left all known words.
+NO_WORD = "-"
 LETTERS = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*~]{1,2}){2,}[^\W_](?!\S)")
 EDGE = ".,;:?!\"'()[]{}<>…*%&#~^-_/\\"
@@ -80,7 +84,18 @@ class Restorer:
     def __init__(self, words: Counter, known: set[str]):
         self.model, self.known = CharModel(words), known
         self.letters = "".join(c for c, _ in Counter({c: p for c, p in self.model.single.items() if c.isalpha()}).most_common(40))
-        self.decode = lru_cache(1 << 17)(self._decode)
+        self.ready()
+
+    def ready(self) -> None:
+        """What is derived from the rest: beginnings of known words with the letters that go on, and the caches."""
+        self.beginnings: dict[str, str] = {"": ""}
+        for w in sorted(self.known):
+            for i, c in enumerate(w):
+                have = self.beginnings.setdefault(w[:i], "")
+                if c not in have:
+                    self.beginnings[w[:i]] = have + c
+            self.beginnings.setdefault(w, "")
+        self.decode = lru_cache(1 << 16)(self._decode)
         self.split = lru_cache(1 << 14)(self._split)
 
     def __getstate__(self) -> dict:
@@ -90,8 +105,7 @@ class Restorer:
         self.model = CharModel(Counter())
         self.model.single, self.model.unknown, self.model.triple, self.model.pair = state["model"]
         self.known, self.letters = state["known"], state["letters"]
-        self.decode = lru_cache(1 << 17)(self._decode)
-        self.split = lru_cache(1 << 14)(self._split)
+        self.ready()
 
     def readings(self, sign: str, count: int) -> list[tuple[str, float]]:
         if sign.isalpha():
@@ -106,22 +120,29 @@ class Restorer:
         return out
 
     def _decode(self, token: str) -> str:
-        """The likeliest word behind a token: Viterbi over pairs of letters, six paths kept for each pair."""
-        paths: dict[str, list[tuple[float, str]]] = {"  ": [(0.0, "")]}
-        cost = self.model.cost
+        """The likeliest word behind a token: Viterbi over pairs of letters and beginnings of known words.
+
+        A path's state is the beginning of a known word that it spells, or else its last two letters; what follows costs
+        the same for all paths in a state, so the best one of each is enough.
+        """
+        paths: dict[tuple[str, str], tuple[float, str]] = {("  ", ""): (0.0, "")}
+        cost, begin = self.model.cost, self.beginnings
         for run in re.finditer(r"(.)\1*", token):
             options = self.readings(run[1], len(run[0]))
-            ahead: dict[str, list[tuple[float, str]]] = {}
-            for pair, kept in paths.items():
-                for letters, price in options:
-                    state, add = pair, price
+            ahead: dict[tuple[str, str], tuple[float, str]] = {}
+            for (pair, start), (paid, word) in paths.items():
+                known = begin.get(word, "") if run[0] == "*" and start == word else ""
+                for letters, price in options + [(c, HIDDEN) for c in known if c not in self.letters]:
+                    state, add = pair, paid + price
                     for c in letters:
                         add += cost(state, c)
                         state = state[1] + c
-                    ahead.setdefault(state, []).extend((s + add, w + letters) for s, w in kept)
-            paths = {k: sorted(set(v))[:6] for k, v in ahead.items()}
-        ends = [(s + cost(k, " ") - KNOWN_BONUS * (len(w) > 3 and w in self.known), w) for k, v in paths.items() for s, w in v]
-        return min(ends)[1]
+                    own = word + letters
+                    key = (state, own if own in begin else NO_WORD)
+                    if key not in ahead or (add, own) < ahead[key]:
+                        ahead[key] = (add, own)
+            paths = ahead
+        return min((s + cost(k, " ") - KNOWN_BONUS * (len(w) > 3 and w in self.known), w) for (k, _), (s, w) in paths.items())[1]
 
     def token(self, token: str) -> list[str]:
         """The words of a token that isn't letters alone: those between its signs, and the one that they may hide."""
@@ -292,14 +313,14 @@ class Toxicity:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = MOST, longest: int = LONGEST) -> Toxicity:
-    return Toxicity(sample(docs, labels, label, learn, text, doc_id, most, longest))
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = MOST) -> Toxicity:
+    return Toxicity(sample(docs, labels, label, learn, text, doc_id, most))
 
 
 def scored(docs: DataFrame, model, text: str = "text", column: str = "score") -> DataFrame:
     """docs with a column that holds the model's scores of the texts. model: called with a list of texts."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the bounds of the sample
-    own = "__text"
+    own = fresh("text_read", docs)
     rows = docs.withColumn(own, F.coalesce(F.col(text), F.lit("")))
     names = docs.columns
 
@@ -309,7 +330,7 @@ def scored(docs: DataFrame, model, text: str = "text", column: str = "score") ->
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(score)], names=[*names, column])
 
     kind = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(released(run), kind)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, text: str = "text", doc_id: str = "doc_id", most: int = MOST) -> DataFrame:
@@ -323,4 +344,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, t
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = MOST) -> DataFrame:
     """The documents with a score below 0.5, with all their columns; learns from all labels."""
     model = fit(docs, labels, F.lit(True), text, doc_id, most=most)
-    return scored(docs, model, text, "__score").where("__score < 0.5").select(*docs.columns)
+    score = fresh("score", docs)
+    return scored(docs, model, text, score).where(F.col(score) < 0.5).select(*docs.columns)
