@@ -104,8 +104,8 @@ def test_store_and_stream(spark, tmp_path):
     one = spark.createDataFrame([("600001", "20240102", 1.0, 1.0, 1.0, 1.0, 1.0, None, None)], BARS)
     for _ in range(3):
         store.write_bars("sina", one)
-    assert store.versions("bars/source=sina") == [2, 3] and store.bars("sina").collect() == one.collect()
-    (tmp_path / "store/bars/source=sina/v=9").mkdir()  # a writer that never finished
+    assert store.versions("bars/source=sina/year=2024") == [2, 3] and store.bars("sina").collect() == one.collect()
+    (tmp_path / "store/bars/source=sina/year=2024/v=9").mkdir()  # a writer that never finished
     assert store.bars("sina").count() == 1
     landed = spark.createDataFrame([("600001", "20240102", 1.0, 1.0, 1.0, 1.0, 5.0, None, None, 1), ("600001", "20240102", 1.0, 1.0, 1.0, 1.0, 6.0, None, None, 2), ("600002", "20240102", 1.0, 1.0, 1.0, 1.0, 7.0, None, None, 1)], f"{BARS}, seq long")
     landed.write.parquet(str(tmp_path / "landed"))
@@ -139,10 +139,119 @@ def test_command_line(spark, tmp_path, capsys):
     assert [h["code"] for h in made["hits"]] == ["600001"] and made["nearMisses"][0]["failedGates"] == ["deep_drawdown"]
     assert made["skipped"] == {"st-or-delisting": 1} and made["evaluated"] == 2 and made["summary"]["others"] == 0
     text = (out / "20220401-low_flat_breakout-full-market.md").read_text()
-    assert "600001 Test" in text and "突破" in text and "✓" in text and "差在: 距高点回撤" in text
+    hit, miss = text.split("## Hits")[1].split("## One gate short")
+    assert "| 600001 | Test" in hit and "pass 平台放量突破 (breakoutDate 2022" in hit and "600002" not in hit
+    assert "| 600002 | Test" in miss and "| 距高点回撤 |" in miss and "fail 距高点回撤 (drawdownFromHigh" in miss and "| st-or-delisting | 1 |" in miss
     for bad in (["--params", "nothing=1"], ["--codes", "abc"], ["--strategy", "none"], ["--predicate", '{"all": []}'], ["--params", "minBars=x"]):
         assert cli.main(["scan", *common, *bad], spark) == 2
     assert cli.main(["scan", *common, "--predicate", '{"not": "deep_drawdown"}', "--codes", "600002", "--out", str(out)], spark) == 0
     for what, n in (("strategies", 3), ("filters", 15), ("sources", 3)):
         capsys.readouterr()
         assert cli.main([what], spark) == 0 and len(capsys.readouterr().out.strip().splitlines()) == n
+
+
+def test_merging_touches_only_the_years_of_new_bars(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    bar = lambda code, date, x: (code, date, x, x, x, x, 1.0, None, None)
+    frame = lambda *rows: spark.createDataFrame(list(rows), BARS)
+    store.write_bars("sina", frame(bar("600001", "20231229", 1.0), bar("600001", "20240102", 2.0), bar("600002", "20231229", 3.0)))
+    before = sorted(p.name for p in tmp_path.rglob("year=2023/**/*.parquet"))
+    store.merge_bars("sina", frame(bar("600001", "20240102", 9.0), bar("600001", "20240103", 4.0)))
+    assert sorted(p.name for p in tmp_path.rglob("year=2023/**/*.parquet")) == before
+    got = {(r.code, r.date): r.close for r in store.bars("sina").collect()}
+    assert got == {("600001", "20231229"): 1.0, ("600001", "20240102"): 9.0, ("600001", "20240103"): 4.0, ("600002", "20231229"): 3.0}
+    assert store.bars("sina", "20240101").count() == 2 and store.years("sina") == ["2023", "2024"]
+    new = frame(bar("600001", "20240105", 7.0))
+    store.merge_bars("sina", new, instead_of=new.select("code"))
+    assert {(r.code, r.date) for r in store.bars("sina").collect()} == {("600001", "20240105"), ("600002", "20231229")}
+
+
+def test_a_damaged_version_is_passed_over(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.write("stocks", spark.createDataFrame([stock("600001")], STOCKS))
+    store.write("stocks", spark.createDataFrame([stock("600002")], STOCKS))
+    for p in (tmp_path / "stocks/v=2").glob("*.parquet"):
+        p.write_bytes(b"damaged")
+    for p in (tmp_path / "stocks/v=2").glob(".*.crc"):
+        p.unlink()
+    with pytest.warns(UserWarning, match="can't be read"):
+        assert [r.code for r in store.stocks().collect()] == ["600001"]
+
+
+def test_sync_refreshes_and_names_restated_histories(spark, tmp_path, capsys):
+    store = Store(spark, str(tmp_path / "store"))
+    store.write("stocks", spark.createDataFrame([stock("600001"), stock("600002")], STOCKS))
+    common = ["sync", "--store", str(tmp_path / "store"), "--source", "eastmoney"]
+
+    def land(name: str, today: str, days: dict[str, dict[str, float]], *more: str) -> str:
+        body = lambda d: json.dumps({"data": {"klines": [f"{k},{x},{x},{x},{x},100" for k, x in d.items()]}})
+        payloads(spark, *((f"{c}.SH", 0, body(d)) for c, d in days.items())).write.parquet(str(tmp_path / name))
+        assert cli.main([*common, "--today", today, "--landed", str(tmp_path / name), *more], spark) == 0
+        return capsys.readouterr().out
+
+    def plan(today: str) -> dict[str, int]:
+        assert cli.main([*common, "--today", today, "--plan"], spark) == 0
+        return json.loads(capsys.readouterr().out)
+
+    assert plan("20240103") == {"load": 2}
+    land("a", "20240103", {"600001": {"20240102": 10.0, "20240103": 10.0}, "600002": {"20240102": 5.0, "20240103": 5.0}})
+    assert plan("20240103") == {"hit": 2} and plan("20240104") == {"refresh": 2}
+    said = land("b", "20240104", {"600001": {"20240103": 10.0, "20240104": 11.0}, "600002": {"20240103": 2.5, "20240104": 2.6}})
+    assert "restated" in said and "600002" in said and "600001" not in said.split("restated")[1]
+    close = lambda: {(r.code, r.date): r.close for r in store.bars("eastmoney").collect()}
+    assert close()["600002", "20240103"] == 5.0 and ("600002", "20240104") not in close() and close()["600001", "20240104"] == 11.0
+    assert plan("20240105") == {"refresh": 2}
+    land("c", "20240104", {"600002": {"20240103": 2.5, "20240104": 2.6}}, "--refresh")
+    assert {k: x for k, x in close().items() if k[0] == "600002"} == {("600002", "20240103"): 2.5, ("600002", "20240104"): 2.6}
+
+
+def test_a_scan_of_securities_without_bars_fails(spark, tmp_path, capsys):
+    store = Store(spark, str(tmp_path))
+    store.write("stocks", spark.createDataFrame([stock(f"6000{i:02d}") for i in range(12)], STOCKS))
+    assert cli.main(["scan", "--store", str(tmp_path), "--today", "20240105", "--out", str(tmp_path / "out")], spark) == 1
+    assert "no bars of 12 of 12" in capsys.readouterr().err
+
+
+def test_time_limit(spark):
+    import time
+
+    def slow(it):
+        time.sleep(60)
+        yield from it
+
+    began = time.time()
+    with pytest.raises(TimeoutError), api.limited(spark, 1500):
+        spark.range(1).mapInArrow(slow, "id long").collect()
+    assert time.time() - began < 40
+    with api.limited(spark, 60_000):
+        assert spark.range(3).count() == 3
+
+
+def test_registering(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.operators import filters
+    from tickloom.plans.params import Param
+
+    own = filters.Filter("many_bars", "Has many bars.", (Param("leastOwnBars", 10, 1, 1000, True),), lambda p: F.col("bars_analyzed") >= p["leastOwnBars"], lambda p: {"ownBars": F.col("bars_analyzed").cast("double")})
+    try:
+        filters.register(own)
+        with pytest.raises(ValueError):
+            filters.register(own)
+        assert api.chosen(predicate={"not": "many_bars"}).predicate.filters() == ["many_bars"]
+        vendors.register(vendors.Source("files", "Landed files.", "none", vendors.eastmoney))
+        assert api.Settings.of(dataSource="files").values["dataSource"] == "files"
+        with pytest.raises(ValueError):
+            vendors.register(vendors.Source("files", "Landed files.", "none", vendors.eastmoney))
+    finally:
+        filters.FILTERS.pop("many_bars", None)
+        vendors.SOURCES.pop("files", None)
+
+
+def test_text_report():
+    from tickloom import report
+
+    hit = {"code": "600001", "name": "Name", "board": "main", "evidence": {"drawdownFromHigh": 0.7, "annualVol": None, "close": 3.0}}
+    text = report.text([hit], "flat_base_low", "sina", 9, {"bse": 2}, ["a note"])
+    assert "9 securities scanned, 1 matched" in text and "drawdownFromHigh" in text and "annualVol" not in text and '{"bse": 2}' in text and "Note: a note" in text
+    assert "No security matched" in report.text([], "x", "sina", 9, {})

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import contextlib
+import threading
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -50,6 +53,31 @@ class Settings:
         return days_before(today, -(-self.values["historyBars"] * 3 // 2) + 45)
 
 
+@contextlib.contextmanager
+def limited(spark: SparkSession, milliseconds: int) -> Iterator[None]:
+    """Jobs started by this thread in here are cancelled once the time is up, and a TimeoutError is raised."""
+    context, group, late = spark.sparkContext, f"tickloom-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    context.setJobGroup(group, "tickloom", True)
+    timer = threading.Timer(milliseconds / 1000, stop)
+    timer.daemon = True
+    timer.start()
+    try:
+        yield
+    except Exception as error:
+        if late.is_set():
+            raise TimeoutError(f"cancelled after {milliseconds} ms") from error
+        raise
+    finally:
+        timer.cancel()
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(key, None)
+
+
 def expected_trading_day(today: str) -> str:
     """The latest day that can have bars: today, on weekends the Friday before."""
     from datetime import datetime

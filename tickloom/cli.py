@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom import api, report
-from tickloom.operators.bars import merge
+from tickloom.operators.bars import acquisition, mergeable
 from tickloom.operators.universe import too_many_failures, universe, whitelisted
 from tickloom.plans import screen as scr
 from tickloom.sources import vendors
@@ -43,12 +43,15 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--max-list-days", type=int, default=0)
     sub.choices["sync"].add_argument("--listing", help="landed pages of the listing")
     sub.choices["sync"].add_argument("--landed", help="landed daily bars")
+    sub.choices["sync"].add_argument("--refresh", action="store_true", help="landed bars replace all stored ones of their securities")
+    sub.choices["sync"].add_argument("--plan", action="store_true", help="only say what securities need: load, backfill, retry, refresh, hit")
     scan = sub.choices["scan"]
     scan.add_argument("--strategy", help="a strategy's id; low_flat_limit_up without a predicate")
     scan.add_argument("--predicate", help="a predicate in JSON")
     scan.add_argument("--params", default="", help="k=v,k2=v2")
     scan.add_argument("--top", type=int, default=30)
     scan.add_argument("--out", default="reports")
+    scan.add_argument("--timeout-ms", type=int, default=1_800_000)
     return top
 
 
@@ -91,25 +94,53 @@ def given_params(raw: str, docs: dict[str, api.Param]) -> dict[str, object]:
 
 
 def settings_of(args: argparse.Namespace) -> api.Settings:
-    return api.Settings.of(historyBars=args.history_bars, minListDays=args.min_list_days, maxListDays=args.max_list_days, dataSource=args.source)
+    given = {"scanTimeoutMs": args.timeout_ms} if args.command == "scan" else {}
+    return api.Settings.of(historyBars=args.history_bars, minListDays=args.min_list_days, maxListDays=args.max_list_days, dataSource=args.source, **given)
 
 
 def sync(spark: SparkSession, args: argparse.Namespace) -> str:
-    """Stores landed securities and merges landed bars; fails if most securities of the universe had none."""
+    """Stores landed securities and merges landed bars; fails if most securities of the universe had none.
+
+    Securities whose history the source has restated are left as they are and named, to be landed anew with --refresh.
+    """
     store, settings = Store(spark, args.store), settings_of(args)
     if args.listing:
         store.write("stocks", vendors.stocks(spark.read.parquet(args.listing)))
     codes, label, _ = scope(spark, args)
     wanted = whitelisted(universe(store.stocks(), settings.rules(args.today)), codes)
-    n = wanted.count()
+    n, start = wanted.count(), settings.history_start(args.today)
+    if args.plan:
+        plan = acquisition(wanted, store.files(args.source), start, api.expected_trading_day(args.today), args.today)
+        return json.dumps({r.action: r.n for r in plan.groupBy("action").agg(F.count("*").alias("n")).orderBy("action").collect()})
+    again: list[str] = []
+    if args.landed:
+        payloads = spark.read.parquet(args.landed)
+        new = vendors.window(vendors.source(args.source).parse(payloads), start).join(wanted.select("code"), "code", "left_semi").persist()
+        asked = wanted.select("code").join(payloads.select(F.substring_index("full_code", ".", 1).alias("code")).distinct(), "code", "left_semi")
+        if args.refresh:
+            store.merge_bars(args.source, new, instead_of=new.select("code").distinct())
+        else:
+            ready, restated = mergeable(store.bars(args.source), new)
+            again = [r.code for r in restated.orderBy("code").collect()]  # codes of securities, a few thousand at most
+            store.merge_bars(args.source, ready if not again else new.where(~F.col("code").isin(again)).select(*ready.columns))
+            asked = asked.where(~F.col("code").isin(again)) if again else asked
+        new.unpersist()
+        store.note_files(args.source, asked, args.today, start)
+    missing = lacking(wanted, store.bars(args.source))
     if args.landed:
-        new = vendors.window(vendors.source(args.source).parse(spark.read.parquet(args.landed)), settings.history_start(args.today))
-        new = new.join(wanted.select("code"), "code", "left_semi")
-        store.write_bars(args.source, merge(store.bars(args.source), new))
-    missing = wanted.join(store.bars(args.source).select("code").distinct(), "code", "left_anti").count()
-    if args.landed and too_many_failures(missing, n):
-        raise RuntimeError(f"no bars of {missing} of {n} securities; the source may be down")
-    return f"{label}: {n} securities, {n - missing} with bars from {args.source}"
+        healthy(missing, n)
+    said = f"; restated, to be landed anew with --refresh: {', '.join(again)}" if again else ""
+    return f"{label}: {n} securities, {n - missing} with bars from {args.source}{said}"
+
+
+def lacking(wanted: DataFrame, bars: DataFrame) -> int:
+    return wanted.join(bars.select("code").distinct(), "code", "left_anti").count()
+
+
+def healthy(missing: int, securities: int) -> None:
+    """Fails if so many securities have no bars that results would say little about the market."""
+    if too_many_failures(missing, securities):
+        raise RuntimeError(f"no bars of {missing} of {securities} securities; the source may be down")
 
 
 def scan(spark: SparkSession, args: argparse.Namespace) -> str:
@@ -120,8 +151,15 @@ def scan(spark: SparkSession, args: argparse.Namespace) -> str:
     api.check_source(strategy, args.source)
     codes, label, slug = scope(spark, args)
     rules = settings.rules(args.today)
-    over = scr.Scan(store.bars(args.source), store.stocks(), rules, tuple(codes) if isinstance(codes, list) else codes)
-    made = report.build(scr.diagnose(over, strategy, params), store.stocks(), rules, strategy.id, params, args.source, label, datetime.now().isoformat(timespec="seconds"), codes, args.top)
+    bars = store.bars(args.source, settings.history_start(args.today))
+    over = scr.Scan(vendors.window(bars, settings.history_start(args.today)), store.stocks(), rules, tuple(codes) if isinstance(codes, list) else codes)
+    with api.limited(spark, settings.values["scanTimeoutMs"]):
+        candidates = over.candidates()
+        missing = lacking(candidates, over.bars)
+        healthy(missing, candidates.count())
+        made = report.build(scr.diagnose(over, strategy, params), store.stocks(), rules, strategy.id, params, args.source, label, datetime.now().isoformat(timespec="seconds"), codes, args.top)
+    if missing:
+        made.skipped["no-bars"] = missing
     out = Path(args.out)
     out.mkdir(parents=True, exist_ok=True)
     name = f"{args.today}-{strategy.id}-{slug}"
@@ -143,9 +181,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             listing = {"strategies": api.list_strategies, "filters": api.list_filters, "sources": api.list_sources}[args.command](spark)
             for row in listing.select(F.to_json(F.struct("*"))).collect():
                 print(row[0])
-    except ValueError as bad:
+    except (ValueError, RuntimeError, TimeoutError) as bad:
         print(bad, file=sys.stderr)
-        return 2
+        return 2 if isinstance(bad, ValueError) else 1
     return 0
 
 

@@ -19,8 +19,7 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """The bars of both by (code, date); a new bar takes an old one's place. Each side has one bar a key."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return latest(both, ["code", "date"], "_new").select(*old.columns)
+    return old.join(new.select("code", "date"), ["code", "date"], "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
 def refresh_plan(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -39,11 +38,17 @@ def refresh_plan(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select("code", F.when(F.col("tail").isNull(), "load").when(moved, "reload").otherwise("merge").alias("action"), "overlap", "drift")
 
 
-def refreshed(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stored bars with what may be merged, and the codes whose whole history has to be loaded anew."""
+def mergeable(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The new bars that may be merged, and the codes whose whole history has to be loaded anew."""
     plan = refresh_plan(old, new)
     ready = new.join(plan.where("action <> 'reload'").select("code"), "code", "left_semi").select(*old.columns)
-    return merge(old, ready), plan.where("action = 'reload'").select("code")
+    return ready, plan.where("action = 'reload'").select("code")
+
+
+def refreshed(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored bars with what may be merged, and the codes whose whole history has to be loaded anew."""
+    ready, again = mergeable(old, new)
+    return merge(old, ready), again
 
 
 def acquisition(stocks: DataFrame, files: DataFrame, start: str, trading_day: str, today: str) -> DataFrame:

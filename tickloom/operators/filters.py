@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import finite, half_up, positive
 from tickloom.operators.series import backwards, by_date, limit_up, whole
-from tickloom.plans.params import Param
+from tickloom.plans.params import Param, merged
 
 Columns = dict[str, Column]
 Given = Mapping[str, float | bool | str]
@@ -320,3 +320,12 @@ def need(filter_id: str) -> Filter:
     if filter_id not in FILTERS:
         raise ValueError(f"unknown filter {filter_id!r}; there are {', '.join(FILTERS)}")
     return FILTERS[filter_id]
+
+
+def register(new: Filter) -> Filter:
+    """Adds a filter, which predicates and strategies may then name. Its parameters' names are its own or mean the same."""
+    if new.id in FILTERS:
+        raise ValueError(f"there is a filter {new.id!r} already")
+    merged([f.params for f in (*FILTERS.values(), new)])
+    FILTERS[new.id] = new
+    return new

@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.filters import FILTERS
 from tickloom.operators.universe import UniverseRules, skips
 from tickloom.plans import screen as scr
+from tickloom.plans.params import merged, resolved
 
 #: What gates are called in reports.
 LABELS = {
@@ -34,43 +37,26 @@ LABELS = {
 DISCLAIMER = "Technical screening of historical data for research; not investment advice."
 
 
-def share(x: Any) -> str:
-    return "-" if x is None else f"{x * 100:.1f}%"
-
-
-def fixed(x: Any, digits: int) -> str:
-    return "-" if x is None else f"{x:.{digits}f}"
-
+#: How the numbers of evidence are written; whatever is not named here is written as it is.
+FORMATS: dict[str, tuple[Callable[[float], str], tuple[str, ...]]] = {
+    "share": (lambda x: f"{100 * x:.1f}%", ("drawdownFromHigh", "percentileInWindow", "pctAboveLow", "flatNetChange", "flatMaSpread", "baseToClosePct", "maSlope", "closeVsMaPct", "annualVol", "limitUpPct", "dryUpVolumeRatio", "cooldownVolumeRatio", "industryMedDrawdown", "industryMedPos", "industryDeepShare")),
+    "times": (lambda x: f"{x:.1f}x", ("breakoutSurge", "limitUpVolumeSurge")),
+    "whole": (lambda x: f"{x:.0f}", ("barsSinceLow", "barsSinceBreakout", "daysSinceLimitUp", "industryMembers", "marketCapYi")),
+    "exact": (lambda x: f"{x:.2f}", ("medianAmountYi", "medianTurnoverPct", "close")),
+}
+WRITTEN = {key: write for write, keys in FORMATS.values() for key in keys}
 
-def given(key: str, text: Callable[[Mapping[str, Any]], str]) -> Callable[[Mapping[str, Any]], str]:
-    """A cell that is a dash where the metric `key` is missing."""
-    return lambda m: "-" if m.get(key) is None else text(m)
 
+def shown(key: str, value: Any) -> str:
+    if value is None:
+        return "-"
+    return WRITTEN[key](value) if key in WRITTEN else str(value)
 
-def cooled(m: Mapping[str, Any]) -> str:
-    """The ratio, and the day that it refers to where that isn't the limit-up day shown."""
-    day = m.get("cooldownRefDate")
-    return share(m.get("cooldownVolumeRatio")) + (f"@{day}" if day is not None and day != m.get("limitUpDate") else "")
 
-
-#: A short label and the value of each gate, in the order in which reports show them.
-CELLS: dict[str, tuple[str, Callable[[Mapping[str, Any]], str]]] = {
-    "deep_drawdown": ("距高点", given("drawdownFromHigh", lambda m: "-" + share(m["drawdownFromHigh"]))),
-    "low_percentile": ("分位", lambda m: share(m.get("percentileInWindow"))),
-    "bars_since_low": ("距低点", given("barsSinceLow", lambda m: f"{m['barsSinceLow']:.0f}日/{share(m.get('pctAboveLow'))}")),
-    "flat_base": ("平台净变动", lambda m: share(m.get("flatNetChange"))),
-    "platform_breakout": ("突破", given("breakoutDate", lambda m: f"{m['breakoutDate']}({fixed(m.get('breakoutSurge'), 1)}x/{fixed(m.get('barsSinceBreakout'), 0)}日)")),
-    "ma_stabilization": ("MA斜率", given("maSlope", lambda m: f"{share(m['maSlope'])}·离MA{share(m.get('closeVsMaPct'))}")),
-    "volatility_regime": ("年化波动", lambda m: share(m.get("annualVol"))),
-    "volume_limit_up": ("放量涨停", given("limitUpDate", lambda m: f"{m['limitUpDate']}({fixed(m.get('limitUpVolumeSurge'), 1)}x)")),
-    "volume_dry_up": ("地量", lambda m: share(m.get("dryUpVolumeRatio"))),
-    "industry_position": ("行业位置", given("industryMedPos", lambda m: f"{m.get('industry') or '?'}·中位分位{share(m['industryMedPos'])}/{fixed(m.get('industryMembers'), 0)}家")),
-    "industry_clearance": ("行业出清", given("industryMedDrawdown", lambda m: f"{m.get('industry') or '?'}·中位回撤{share(m['industryMedDrawdown'])}/深跌{share(m.get('industryDeepShare'))}/{fixed(m.get('industryMembers'), 0)}家")),
-    "market_cap_band": ("市值", given("marketCapYi", lambda m: f"{m['marketCapYi']:.0f}亿")),
-    "amount_liquidity": ("日成交额中位", given("medianAmountYi", lambda m: f"{m['medianAmountYi']:.2f}亿")),
-    "turnover_band": ("中位换手", given("medianTurnoverPct", lambda m: f"{m['medianTurnoverPct']:.2f}%")),
-    "cooldown_pullback": ("回落缩量", cooled),
-}
+@lru_cache(64)
+def evidence_keys(filter_id: str) -> tuple[str, ...]:
+    f = FILTERS[filter_id]
+    return tuple(f.evidence(resolved(merged([f.params]), None)))
 
 
 @dataclass
@@ -106,42 +92,49 @@ def build(diagnosis: DataFrame, stocks: DataFrame, rules: UniverseRules, strateg
         kept.unpersist()
 
 
-def gate_line(entry: Mapping[str, Any]) -> str:
+def gate_cells(entry: Mapping[str, Any]) -> list[str]:
+    """For each gate, in the order of the filters' registry, its outcome, name and evidence."""
     gates, metrics = entry["gates"], entry["metrics"]
-    order = [g for g in CELLS if g in gates] + [g for g in gates if g not in CELLS]
-    cells = []
-    for g in order:
-        label, value = CELLS.get(g, (LABELS.get(g, g), lambda m: ""))
-        cells.append(f"{label}{value(metrics)}{'✓' if gates[g] else '✗'}")
-    return " ".join(cells)
+    out = []
+    for g in (f for f in FILTERS if f in gates):
+        found = ", ".join(f"{k} {shown(k, metrics.get(k))}" for k in evidence_keys(g))
+        out.append(f"{'pass' if gates[g] else 'fail'} {LABELS.get(g, g)} ({found})")
+    return out
+
+
+def table(head: Sequence[str], rows: Sequence[Sequence[str]]) -> list[str]:
+    if not rows:
+        return ["None.", ""]
+    line = lambda cells: "| " + " | ".join(c.replace("|", "/") for c in cells) + " |"
+    return [line(head), line(["-"] * len(head)), *map(line, rows), ""]
 
 
 def markdown(report: Report) -> str:
-    def line(entry: Mapping[str, Any], end: str = "") -> str:
-        return f"- **{entry['code']} {entry['name']}** ({entry['board']}) 收盘{fixed(entry['metrics'].get('close'), 2)} {gate_line(entry)}{end}"
-
-    hits = [line(e) for e in report.hits] or ["无。"]
-    near = [line(e, f" → 差在: {'、'.join(LABELS.get(g, g) for g in e['failed_gates'])}") for e in report.near] or ["无。"]
-    out = [
-        f"# 选股扫描报告 — {report.strategy}",
-        "",
-        f"- 生成: {report.made} · 数据源: {report.source} · 范围: {report.scope}",
-        f"- 数据截至: {report.last_bar or '未知'} · 评估 {report.evaluated} 只",
-        f"- 严格命中 {len(report.hits)} / 近邻候选 {len(report.near)} / 其他(差≥2道闸) {report.others}",
-        f"- 参数: {', '.join(f'{k}={v}' for k, v in report.params.items())}",
-        "",
-        f"## 一、严格命中 ({len(report.hits)}只)",
-        "",
-        *hits,
-        "",
-        f"## 二、近邻候选 ({len(report.near)}只, 只差一道闸, 供人工甄别)",
-        "",
-        *near,
-        "",
-    ]
-    if report.skipped:
-        out += [f"## 三、剔除 ({', '.join(f'{k} {v}' for k, v in report.skipped.items())})", ""]
-    return "\n".join([*out, "---", "⚠️ 技术形态扫描结果, 仅供研究参考, 不构成投资建议。"])
+    """Facts of the scan, then tables of hits, of near misses with the gate that each lacks, and of what was left out."""
+
+    def security(e: Mapping[str, Any]) -> list[str]:
+        return [e["code"], e["name"], e["board"], shown("close", e["metrics"].get("close"))]
+
+    facts = [("Strategy", report.strategy), ("Source", report.source), ("Scope", report.scope), ("Made", report.made), ("Last bar", report.last_bar or "unknown"), ("Evaluated", report.evaluated), ("Hits", len(report.hits)), ("Near misses", f"{len(report.near)} of {report.near_in_all}"), ("Others", report.others)]
+    facts += [(f"`{k}`", v) for k, v in report.params.items()]
+    head = ["Code", "Name", "Board", "Close"]
+    return "\n".join(
+        [
+            f"# Screen {report.strategy}",
+            "",
+            *table(["Fact", "Value"], [[k, str(v)] for k, v in facts]),
+            "## Hits",
+            "",
+            *table([*head, "Gates"], [[*security(e), "; ".join(gate_cells(e))] for e in report.hits]),
+            "## One gate short",
+            "",
+            *table([*head, "Lacks", "Gates"], [[*security(e), ", ".join(LABELS.get(g, g) for g in e["failed_gates"]), "; ".join(gate_cells(e))] for e in report.near]),
+            "## Left out",
+            "",
+            *table(["Reason", "Securities"], [[k, str(v)] for k, v in report.skipped.items()]),
+            DISCLAIMER,
+        ]
+    )
 
 
 def as_json(report: Report) -> str:

@@ -23,7 +23,7 @@ def pick(values: tuple, key: F.Column) -> F.Column:
 
 def code(key: F.Column) -> F.Column:
     text = key.cast("string")
-    return F.concat(pick(PREFIXES, key), F.lpad(text, 4, "0"))
+    return F.concat(pick(PREFIXES, key), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ g AS (
          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents
   FROM lineitem GROUP BY 1, 2
 ), bars AS MATERIALIZED (
-  SELECT ['60', '30', '68', '83'][k % 4 + 1] || lpad(CAST(k AS VARCHAR), 4, '0') AS code, date,
+  SELECT ['60', '30', '68', '83'][k % 4 + 1] || CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 4, '0') ELSE CAST(k AS VARCHAR) END AS code, date,
          cents / (pieces * 10000.0::DOUBLE) AS close,
          (cents / (pieces * 10000.0::DOUBLE)) / (1 + (discount / (items * 100.0::DOUBLE) - 0.05::DOUBLE) * [0.25::DOUBLE, 0.5, 1, 2, 4][k % 5 + 1]) AS pre_close,
          pieces * 1000.0::DOUBLE AS volume, cents * 10.0::DOUBLE AS amount
@@ -82,7 +82,7 @@ g AS (
          strftime(DATE '2001-12-31' - CAST(k * 53 % 4000 AS INTEGER), '%Y%m%d') AS list_date,
          CASE WHEN k % 11 <> 7 THEN r_name END AS industry,
          (abs(s_acctbal) + 1) * 1e6::DOUBLE AS total_cap, (abs(s_acctbal) + 1) * 1e6::DOUBLE * 0.6::DOUBLE AS float_cap
-  FROM (SELECT *, s_suppkey AS k, ['60', '30', '68', '83'][s_suppkey % 4 + 1] || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS c FROM supplier)
+  FROM (SELECT *, s_suppkey AS k, ['60', '30', '68', '83'][s_suppkey % 4 + 1] || CASE WHEN s_suppkey < 1000 THEN lpad(CAST(s_suppkey AS VARCHAR), 4, '0') ELSE CAST(s_suppkey AS VARCHAR) END AS c FROM supplier)
   LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
 )
 """

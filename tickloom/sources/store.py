@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators.bars import merge
+
 BARS = "code string, date string, open double, high double, low double, close double, volume double, amount double, pre_close double"
 STOCKS = "code string, full_code string, name string, board string, list_date string, industry string, total_cap double, float_cap double"
 FILES = "code string, fetched_at string, start_date string, tail string"
@@ -34,10 +38,20 @@ class Store:
 
     def read(self, name: str, schema: str) -> DataFrame:
         """The newest version; an empty table if there is none."""
-        known = self.versions(name)
-        if not known:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={known[-1]}")
+        path = self.newest(name)
+        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
+
+    def newest(self, name: str) -> str | None:
+        """The folder of the newest version that can be read; a damaged one is passed over for the one before."""
+        for v in reversed(self.versions(name)):
+            path = f"{self.root}/{name}/v={v}"
+            try:
+                self.spark.read.parquet(path)  # reads a footer
+            except Exception as bad:  # noqa: BLE001  whatever is wrong with it, an older one may do
+                warnings.warn(f"{path} can't be read: {str(bad)[:200]}", stacklevel=2)
+            else:
+                return path
+        return None
 
     def write(self, name: str, df: DataFrame, keep: int = 2) -> int:
         """Writes a further version and drops all but the last `keep`."""
@@ -49,18 +63,61 @@ class Store:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"v={old}"), True)
         return new
 
-    def bars(self, source: str) -> DataFrame:
-        return self.read(f"bars/source={source}", BARS)
+    def years(self, source: str) -> list[str]:
+        """The years that have bars, each a versioned table of its own."""
+        fs, path = self._folder(f"bars/source={source}")
+        if not fs.exists(path):
+            return []
+        return sorted(n[5:] for n in (s.getPath().getName() for s in fs.listStatus(path)) if n.startswith("year="))
+
+    def bars(self, source: str, start: str = "") -> DataFrame:
+        """The bars of a source from the year of `start` (yyyyMMdd) on; earlier years' files are not looked at."""
+        found = [p for y in self.years(source) if y >= start[:4] and (p := self.newest(f"bars/source={source}/year={y}"))]
+        return self.spark.read.schema(BARS).parquet(*found) if found else self.spark.createDataFrame([], BARS)
 
-    def write_bars(self, source: str, bars: DataFrame) -> int:
+    def write_year(self, source: str, year: str, bars: DataFrame) -> None:
         """Bars dealt by code and sorted, so that scans of some codes or days read few row groups."""
         columns = [c.split()[0] for c in BARS.split(", ")]
-        return self.write(f"bars/source={source}", bars.select(*columns).repartition("code").sortWithinPartitions("code", "date"))
+        self.write(f"bars/source={source}/year={year}", bars.select(*columns).repartition("code").sortWithinPartitions("code", "date"))
+
+    def write_bars(self, source: str, bars: DataFrame) -> None:
+        """The bars instead of all that there were."""
+        new = touched(bars)
+        for y in sorted({*new, *self.years(source)}):
+            self.write_year(source, y, bars.where(F.col("date").startswith(y)) if y in new else self.spark.createDataFrame([], BARS))
+
+    def merge_bars(self, source: str, new: DataFrame, instead_of: DataFrame | None = None) -> None:
+        """Merges bars; only the years that they touch are written again.
+
+        instead_of: codes whose stored bars all go first, which touches every year.
+        """
+        own = touched(new)
+        for y in sorted({*own, *(self.years(source) if instead_of is not None else ())}):
+            old = self.read(f"bars/source={source}/year={y}", BARS)
+            if instead_of is not None:
+                old = old.join(instead_of.select("code"), "code", "left_anti")
+            self.write_year(source, y, merge(old, new.where(F.col("date").startswith(y)).select(*old.columns)))
+
+    def files(self, source: str) -> DataFrame:
+        """What has been loaded of each security; see FILES."""
+        return self.read(f"files/source={source}", FILES)
+
+    def note_files(self, source: str, codes: DataFrame, today: str, start: str) -> None:
+        """Notes that the history of the codes from `start` on was asked for today."""
+        tails = self.bars(source).groupBy("code").agg(F.max("date").alias("tail"))
+        now = codes.select("code").distinct().join(tails, "code", "left").select("code", F.lit(today).alias("fetched_at"), F.lit(start).alias("start_date"), "tail")
+        old = self.files(source).join(codes.select("code"), "code", "left_anti").select("code", "fetched_at", "start_date", "tail")
+        self.write(f"files/source={source}", old.unionByName(now))
 
     def stocks(self) -> DataFrame:
         return self.read("stocks", STOCKS)
 
 
+def touched(bars: DataFrame) -> list[str]:
+    """The years of bars; a few dozen at most."""
+    return [r.y for r in bars.select(F.substring("date", 1, 4).alias("y")).distinct().collect()]
+
+
 def legacy_bars(spark: SparkSession, path: str) -> DataFrame:
     """Bars of JSON files with rows [date, open, high, low, close, volume, preClose] and, in newer ones, amount."""
     raw = spark.read.schema("code string, fetchedAt string, startDate string, bars array<array<string>>").option("multiLine", True).json(path)

@@ -17,6 +17,7 @@ from tickloom.functions.market import board_of, date_digits, full_code, tag, ven
 from tickloom.functions.numeric import finite, number, positive
 from tickloom.operators.bars import latest
 
+#: The vendor's names of an entry's fields (code, market, name, listing day, industry, capitalisations).
 ENTRY = "struct<f12: string, f13: string, f14: string, f26: string, f100: string, f20: double, f21: double>"
 PRICES = ("open", "close", "high", "low")
 BARS = ("code", "date", "open", "high", "low", "close", "volume", "amount", "pre_close")
@@ -116,6 +117,14 @@ SOURCES: dict[str, Source] = {
 }
 
 
+def register(new: Source) -> Source:
+    """Adds a source; its bars are stored by themselves like those of the others."""
+    if new.id in SOURCES:
+        raise ValueError(f"there is a source {new.id!r} already")
+    SOURCES[new.id] = new
+    return new
+
+
 def source(source_id: str) -> Source:
     if source_id not in SOURCES:
         raise ValueError(f"unknown source {source_id!r}; there are {', '.join(SOURCES)}")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.operators.bars import latest, refreshed
+from tickloom.operators.bars import latest, mergeable
 from tickloom.sources.store import BARS, Store
 
 
@@ -19,17 +19,21 @@ def merge_stream(spark: SparkSession, landed: str, store: Store, source: str, ch
     rows = spark.readStream.schema(f"{BARS}, seq long").parquet(landed)
 
     def batch(new: DataFrame, epoch: int) -> None:
-        one = latest(new, ["code", "date"], "seq")
-        stored, restated = refreshed(store.bars(source), one)
-        names = [r.code for r in restated.limit(1).collect()]
-        if names:
-            store.write(f"restated/source={source}", store.read(f"restated/source={source}", "code string").union(restated).distinct())
-        store.write_bars(source, stored)
+        one = latest(new, ["code", "date"], "seq").persist()
+        try:
+            ready, restated = mergeable(store.bars(source), one)
+            restated = restated.persist()
+            if not restated.isEmpty():
+                store.write(f"restated/source={source}", store.read(f"restated/source={source}", "code string").union(restated).distinct())
+            store.merge_bars(source, one.join(restated, "code", "left_anti").select(*ready.columns))
+            restated.unpersist()
+        finally:
+            one.unpersist()
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def daily_volume(bars: DataFrame, late: str = "3 days") -> DataFrame:
-    """Volume by code and week of a stream of bars, with late bars up to a watermark."""
+def weekly_volume(bars: DataFrame, late: str = "3 days") -> DataFrame:
+    """Volume by code and seven days (from Thursdays on) of a stream of bars, with late bars up to a watermark."""
     timed = bars.withColumn("at", F.to_timestamp("date", "yyyyMMdd"))
     return timed.withWatermark("at", late).groupBy("code", F.window("at", "7 days")).agg(F.sum("volume").alias("volume"), F.count("*").alias("bars"))
