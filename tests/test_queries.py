@@ -21,7 +21,7 @@ def canonical(rows: list[tuple]) -> list[tuple]:
     return sorted((tuple(map(cell, r)) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["chained_index", "limit_up_days", "filter_platform_breakout", "filter_cooldown_pullback", "filter_industry_position", "universe_skips", "low_flat_limit_up", "dsl_or_not", "near_miss_topk", "refresh_plan"])
+@pytest.mark.parametrize("name", list(queries.queries()))
 def test_query(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom import source_queries
 from tickloom.functions.market import limit_of
 from tickloom.operators import bars as bar_ops
 from tickloom.operators import industry, series
@@ -56,7 +57,8 @@ def q_filter(filter_id: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         f, over = FILTERS[filter_id], scan(spark, sf_dir)
         params = resolved(merged([f.params]), GIVEN.get(filter_id))
-        rows = scr.measured(over.bars, over.members(), over.candidates(), [filter_id], params)
+        members = over.members()
+        rows = scr.measured(over.bars, members, uni.whitelisted(members, over.codes), [filter_id], params)
         return rows.select("code", F.col(f"gate_{filter_id}").alias("passed"), *(F.col(f"ev_{filter_id}_{k}").alias(k) for k in f.evidence(params)))
 
     return run
@@ -265,7 +267,7 @@ def oracle_sql() -> dict[str, str]:
           j AS (SELECT f.code, count(o.close) AS overlap, max(abs(f.close / o.close - 1)) AS drift, min(f.date) AS first FROM f LEFT JOIN o ON o.code = f.code AND o.date = f.date GROUP BY 1), t AS (SELECT code, max(date) AS tail FROM o GROUP BY 1)
           SELECT j.code, CASE WHEN tail IS NULL THEN 'load' WHEN coalesce(drift > 0.001, false) OR overlap = 0 AND first <= tail THEN 'reload' ELSE 'merge' END AS action, overlap FROM j LEFT JOIN t ON t.code = j.code""",
     }
-    return queries
+    return queries | source_queries.oracle_sql(head, full, wide)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -287,4 +289,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "near_miss_topk": q_near_miss_topk,
         "bars_merge": q_bars_merge,
         "refresh_plan": q_refresh_plan,
+        **source_queries.queries(),
     }
