@@ -197,6 +197,25 @@ class FingerprintIndex:
         self.tables = []
 
 
+def repeated(texts: pa.ChunkedArray, some: list[int], known_: list[np.ndarray], size: int, hashers: list[WordHash]) -> Iterator[np.ndarray]:
+    """For each of some texts a mark at every word that a window among its known ones covers; a few megabytes at a time."""
+    at = 0
+    while at < len(some):
+        part, held = [], 0
+        while at + len(part) < len(some) and held < 2 << 20:
+            part.append(texts[some[at + len(part)]].as_py() or b"")
+            held += len(part[-1])
+        (own,), text, counts = windows(part, size, hashers)
+        edge = np.searchsorted(text, np.arange(len(part) + 1))
+        for k, n in enumerate(counts.tolist()):
+            hit = np.flatnonzero(np.isin(own[edge[k] : edge[k + 1]], known_[at + k]))
+            cover = np.zeros(n + 1, np.int64)
+            np.add.at(cover, hit, 1)
+            np.add.at(cover, hit + size, -1)
+            yield np.cumsum(cover[:n]) > 0
+        at += len(part)
+
+
 def cleaned(size: int, with_text: bool):
     """Removes the words that repeated windows cover from a group of documents."""
 
@@ -207,21 +226,18 @@ def cleaned(size: int, with_text: bool):
         by = np.argsort(doc, kind="stable")
         doc, h = doc[by], h[by]
         ids = left.column("doc_id").to_pylist()
+        texts = left.column("text").cast(pa.binary())
+        found = [(0, 0) if i is None else tuple(np.searchsorted(doc, [i, i + 1]).tolist()) for i in ids]
+        some = [k for k, (b, e) in enumerate(found) if e > b]
+        gone = dict(zip(some, repeated(texts, some, [h[slice(*found[k])] for k in some], size, hashers), strict=True))
         rows = []
-        for i, text in zip(ids, left.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            found = WORD.findall(text or b"")
-            n = len(found)
-            b, e = (0, 0) if i is None else np.searchsorted(doc, [i, i + 1])
-            if e > b:
-                (own,), _, _ = windows([text], size, hashers)
-                hit = np.flatnonzero(np.isin(own, h[b:e]))
-                gone = np.zeros(n + 1, np.int64)
-                np.add.at(gone, hit, 1)
-                np.add.at(gone, hit + size, -1)
-                covered = np.cumsum(gone[:n]) > 0
-                found = [w for w, c in zip(found, covered.tolist(), strict=True) if not c]
-            kept = b" ".join(found)
-            rows.append((i, n, n - len(found), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+        for k, (i, text) in enumerate(zip(ids, texts.to_pylist(), strict=True)):
+            words = WORD.findall(text or b"")
+            n = len(words)
+            if k in gone:
+                words = [w for w, c in zip(words, gone[k].tolist(), strict=True) if not c]
+            kept = b" ".join(words)
+            rows.append((i, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         cols = list(zip(*rows, strict=True)) or [()] * 5
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
