@@ -280,9 +280,10 @@ def lm_expected(rows):
     return out, total
 
 
-def test_lm(docs, corpus):
+@pytest.mark.parametrize(("segments", "split"), [(None, 1 << 16), (8, 1), (32, 40)])
+def test_lm(docs, corpus, segments, split):
     rows = [*corpus, (None, "unlearned words w1 w2"), (7, "w1 w2 w1 w2"), (7, "w1 w2 w1 w2")]
-    got = lm.lm_scores(docs(rows)).collect()
+    got = lm.lm_scores(docs(rows), segments=segments, split=split).collect()
     want, total = lm_expected(rows)
     key = lambda r: (str(r[0]), r[1], round(r[3], 6))
     found = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got), key=key)
@@ -304,6 +305,24 @@ def test_query_keeps_pairs_seen_once(spark, docs, tmp_path):
     assert got[other].held_out and got[other].score == pytest.approx(want, abs=0.02)
 
 
+def test_frequent_contexts_are_cut(docs):
+    model = lm.train(docs([(i, f"the w{i} the x{i}") for i in range(200)]), segments=8, split=1)
+    facts = model.facts
+    the = np.argmax(facts.cut_parts)
+    cells = facts.cells().tolist()
+    assert len(facts.cut_ids) == 2 and facts.cut_parts[the] == -(-400 // (facts.tokens // 8)) >= 3
+    assert sum(facts.cut_ids[the] * facts.words <= c < (facts.cut_ids[the] + 1) * facts.words for c in cells) == facts.cut_parts[the]
+    # 400 different successors, each seen once
+    assert facts.cut_weights[the] == pytest.approx(0.75)
+    model.drop()
+
+
+def test_lm_of_words_seen_once_is_finite(docs):
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(40)]
+    got = lm.lm_scores(docs([(held.index(False), "a b c"), (held.index(True), "c a z")])).collect()
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
 def test_lm_without_training(docs):
     assert lm.lm_scores(docs([])).collect() == []
     (r,) = lm.lm_scores(docs([(None, "a b")])).collect()

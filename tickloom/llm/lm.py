@@ -4,13 +4,15 @@ A bigram model is counted over all training documents and stored as a trie in tw
 hashes; the first level holds the sorted hashes of all training words, as an Elias-Fano sequence whose ranks are word
 ids, with the running sum of counts as another. The second level holds the successors of each context that were seen
 `least` times or more: a monotone sequence of pointers gives a context's range, in which a successor is searched for in
-an Elias-Fano sequence of context * V + word; its smoothed probability is one of 256 quantised values, as is a context's
+an Elias-Fano sequence of context * V + word; its discounted probability is one of 256 quantised values, as is a context's
 backoff weight. Levels are cut into segments by the first word's hash, files in the shared folder that every scoring
 process maps into memory and reads only where it looks; where that folder isn't a file system that can be mapped, a
 process keeps copies of the segments it has used.
 
 Counts are summed within a task before they are shuffled, by segment, so a word with a third of all tokens is one entry
-for each task. The model grows with the training text: about six bytes for a different word and four for a kept pair.
+for each task. A context with more tokens than a segment has on average is cut by its successors into cells of its own,
+so that no task gets all successors of a frequent word; the cells' shares of its weight are added up afterwards. The
+model grows with the training text: about six bytes for a different word and four for a kept pair.
 
 P(w | v) = max(c(v w) - d, 0) / c(v) + weight(v) * P(w), over the kept pairs; P(w) = (c(w) - e) / N, the rest being the
 probability of the unknown word. A text's first context is the end of a text.
@@ -27,7 +29,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import urlparse
 
 import numpy as np
@@ -42,7 +44,9 @@ from tickloom.llm.labels import remainder
 SEED = 41
 END = mix(np.array([97], np.uint64))[0]
 COUNTED = "segment int, k binary, c binary"
-MADE = "segment int, words long, tokens long, once long, twice long"
+MADE = "segment int, words long, tokens long, once long, twice long, often binary, counts binary, taken double"
+#: The most frequent words of a segment that may be cut as contexts. Any others stay whole, with the same results.
+OFTEN = 16
 ALL64 = (1 << 64) - 1
 
 
@@ -170,11 +174,24 @@ class Facts:
     words: int
     once: int
     twice: int
+    #: Ids of contexts that are cut into cells, ascending, and into how many; their weights; cells without pairs.
+    cut_ids: tuple[int, ...] = ()
+    cut_parts: tuple[int, ...] = ()
+    cut_weights: tuple[float, ...] = ()
+    blank: frozenset[int] = frozenset()
+
+    def cells(self) -> np.ndarray:
+        """First pair keys (context * V + word) of the cells, and the end: whole contexts of a segment, or a part of one."""
+        v = self.words
+        first = {o * v for o in self.offsets}
+        for c, n in zip(self.cut_ids, self.cut_parts, strict=True):
+            first |= {c * v + j * v // n for j in range(n + 1)}
+        return np.array(sorted(first), np.uint64)
 
     @property
     def cut(self) -> float:
-        """What is taken off the count of each word for the unknown one."""
-        return max(0.05, self.once / (self.once + 2 * self.twice)) if self.once else 0.05
+        """What is taken off the count of each word for the unknown one; less than one, so that no word loses all."""
+        return min(0.95, max(0.05, self.once / (self.once + 2 * self.twice))) if self.once else 0.05
 
     def single(self, c: np.ndarray) -> np.ndarray:
         """P(w) by counts."""
@@ -198,6 +215,8 @@ class Trie:
         self.facts, self.store = facts, Store(facts.path)
         self.vocab: dict[int, tuple[EliasFano, EliasFano]] = {}
         self.pairs: dict[int, tuple] = {}
+        self.cells = facts.cells()
+        self.cut_ids, self.cut_weights = np.array(facts.cut_ids, np.int64), np.array(facts.cut_weights)
 
     def words(self, s: int) -> tuple[EliasFano, EliasFano]:
         if s not in self.vocab:
@@ -231,27 +250,36 @@ class Trie:
             self.pairs[s] = pointers, after, books[:256], books[256:], data[at : at + n].view(np.uint8), data[at + n :].view(np.uint8)
         return self.pairs[s]
 
+    def counts(self, first: int, n: int) -> np.ndarray:
+        """Counts of n consecutive words of one segment."""
+        s = int(np.searchsorted(self.facts.offsets, first, side="right")) - 1
+        return np.diff(self.words(s)[1].get(np.arange(n + 1) + (first - self.facts.offsets[s])).astype(np.int64))
+
     def successors(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P(w | v) where the pair is kept, else nan; and log10 of the weight of v. v, w: ids, v ascending."""
-        f = self.facts
-        out, weight = np.full(len(v), np.nan), np.zeros(len(v))
-        edge = np.searchsorted(v, f.offsets)
+        """The discounted P(w | v), 0 where the pair isn't kept; and the weight of v. v, w: ids, by v and w ascending."""
+        many = np.uint64(self.facts.words)
+        out, weight = np.zeros(len(v)), np.ones(len(v))
+        key = v.astype(np.uint64) * many + w.astype(np.uint64)
+        edge = np.searchsorted(key, self.cells)
         for s, (b, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-            if e == b:
+            if e == b or s in self.facts.blank:
                 continue
             pointers, after, book, weights, codes, backoff = self.level(s)
-            own = v[b:e] - f.offsets[s]
+            own = v[b:e] - int(self.cells[s] // many)
             new = np.ones(len(own), bool)
             new[1:] = own[1:] != own[:-1]
             which = np.cumsum(new) - 1
             contexts = own[new]
             first, last = pointers.get(contexts).astype(np.int64), pointers.get(contexts + 1).astype(np.int64)
-            weight[b:e] = np.where(last > first, weights[backoff[contexts]], 0.0)[which]
+            weight[b:e] = np.where(last > first, weights[backoff[contexts]], 1.0)[which]
             some = np.flatnonzero((last > first)[which])
             if len(some):
-                at = after.find(own[some].astype(np.uint64) * np.uint64(f.words) + w[b:e][some].astype(np.uint64), first[which[some]], last[which[some]])
+                at = after.find(key[b:e][some] - self.cells[s], first[which[some]], last[which[some]])
                 hit = at >= 0
                 out[b + some[hit]] = book[codes[at[hit]]]
+        if len(self.cut_ids):
+            at = np.minimum(np.searchsorted(self.cut_ids, v), len(self.cut_ids) - 1)
+            weight = np.where(self.cut_ids[at] == v, self.cut_weights[at], weight)
         return out, weight
 
 
@@ -306,8 +334,11 @@ def gathered(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     return table.column("segment")[0].as_py(), *summed(k, c)
 
 
-def made(s: int, words: int, total: int, once: int, twice: int) -> pa.Table:
-    return pa.table([pa.array([s], pa.int32()), *(pa.array([int(x)], pa.int64()) for x in (words, total, once, twice))], names=["segment", "words", "tokens", "once", "twice"])
+def made(s: int, h: np.ndarray, c: np.ndarray, often: np.ndarray, taken: float = 0.0) -> pa.Table:
+    numbers = (pa.array([int(x)], pa.int64()) for x in (len(h), c.sum(), (c == 1).sum(), (c == 2).sum()))
+    top = (pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (often, c[often]))
+    names = ["segment", "words", "tokens", "once", "twice", "often", "counts", "taken"]
+    return pa.table([pa.array([s], pa.int32()), *numbers, *top, pa.array([float(taken)])], names=names)
 
 
 def write_words(path: str, segments: int):
@@ -316,18 +347,19 @@ def write_words(path: str, segments: int):
         width = (1 << 64) // segments
         sums = np.concatenate([[0], np.cumsum(c)]).astype(np.uint64)
         Store(path).write(f"words-{s}", [*EliasFano.of(h - np.uint64(s * width), width - 1).arrays(), *EliasFano.of(sums, int(sums[-1])).arrays()])
-        return made(s, len(h), c.sum(), (c == 1).sum(), (c == 2).sum())
+        return made(s, h, c, np.argsort(-c, kind="stable")[:OFTEN])
 
     return run
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A book of 256 evenly spaced values, so that no error is above half their distance; and the code of each of x."""
+    """A book of 256 values, evenly spaced in their logarithms, so that no error is above half their distance; and the code of each of x."""
     if not len(x):
         return np.zeros(256), np.zeros(0, np.uint8)
+    x = np.log10(x)
     low, high = x.min(), x.max()
     step = (high - low) / 255 or 1.0
-    return low + step * np.arange(256), np.rint((x - low) / step).astype(np.uint8)
+    return 10 ** (low + step * np.arange(256)), np.rint((x - low) / step).astype(np.uint8)
 
 
 def padded(x: np.ndarray) -> np.ndarray:
@@ -340,28 +372,19 @@ def write_pairs(facts: Facts, least: int, discount: float):
         trie = Trie(facts)
         keep = c >= least
         k, c = k[keep], c[keep]
-        v, w = (k // np.uint64(facts.words)).astype(np.int64), (k % np.uint64(facts.words)).astype(np.int64)
-        first, n = facts.offsets[s], facts.offsets[s + 1] - facts.offsets[s]
-        own = v - first
-        before = trie.words(s)[1]
-        count = np.diff(before.get(np.arange(n + 1)).astype(np.int64))
-        share = (c - discount) / count[own]
-        weight = 1 - np.bincount(own, share, n)
-        other = np.zeros(len(w), np.int64)
-        edge = np.searchsorted(by := np.sort(w), facts.offsets)
-        place = np.argsort(w, kind="stable")
-        for t, (b, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-            if e > b:
-                at = by[b:e] - facts.offsets[t]
-                sums = trie.words(t)[1]
-                other[place[b:e]] = (sums.get(at + 1) - sums.get(at)).astype(np.int64)
-        book, codes = quantised(np.log10(share + weight[own] * facts.single(other)))
-        weights, backoff = quantised(np.log10(np.maximum(weight, 1e-6)))
+        begin, end = trie.cells[s], trie.cells[s + 1]
+        many = np.uint64(facts.words)
+        first = int(begin // many)
+        own = (k // many).astype(np.int64) - first
+        n = int((end - np.uint64(1)) // many) - first + 1
+        share = np.maximum((c - discount) / trie.counts(first, n)[own], 1e-18)
+        taken = np.bincount(own, share, n)
+        book, codes = quantised(share)
+        weights, backoff = quantised(np.maximum(1 - taken, 1e-6))
         pointers = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=n))]).astype(np.uint64)
-        values = own.astype(np.uint64) * np.uint64(facts.words) + w.astype(np.uint64)
-        files = [*EliasFano.of(pointers, len(k)).arrays(), *EliasFano.of(values, max(1, n * facts.words - 1)).arrays(), book, weights, padded(codes), padded(backoff)]
+        files = [*EliasFano.of(pointers, len(k)).arrays(), *EliasFano.of(k - begin, int(end - begin) - 1).arrays(), book, weights, padded(codes), padded(backoff)]
         Store(facts.path).write(f"pairs-{s}", files)
-        return made(s, len(k), c.sum(), 0, 0)
+        return made(s, k, c, np.zeros(0, np.int64), taken.sum())
 
     return run
 
@@ -396,32 +419,46 @@ class Model:
         self.scratch.drop()
 
 
-def train(docs: DataFrame, text: str = "text", least: int = 1, discount: float = 0.75) -> Model:
-    """Counts the model over all documents given and writes its levels to the shared folder."""
+def train(docs: DataFrame, text: str = "text", least: int = 1, discount: float = 0.75, segments: int | None = None, split: int = 1 << 16) -> Model:
+    """Counts the model over all documents given and writes its levels to the shared folder.
+
+    segments: files of a level, a power of two; by the input's size where it isn't given. split: tokens of a context that is
+    cut into cells, unless a segment has more on average.
+    """
     scratch = Scratch(docs.sparkSession, "lm")
     path = f"{scratch.path}/levels"
-    segments = 1 << min(14, max(0, (plan_bytes(docs) >> 23).bit_length()))
+    segments = segments or 1 << min(14, max(0, (plan_bytes(docs) >> 23).bit_length()))
     rows = docs.select(F.col(text).alias("text"))
     width = (1 << 64) // segments
-    bounds = np.array([s * width for s in range(1, segments)], np.uint64)
 
-    def job(count, at: np.ndarray, write) -> list:
-        out = rows.mapInArrow(counted(count, at), COUNTED).repartition(max(segments, parts(docs)), "segment").groupBy("segment").applyInArrow(write, MADE)
+    def job(count, at: np.ndarray, write) -> dict:
+        out = rows.mapInArrow(counted(count, at), COUNTED).repartition(max(len(at) + 1, parts(docs)), "segment").groupBy("segment").applyInArrow(write, MADE)
         with shuffles_dropped(docs.sparkSession):
-            return out.collect()  # one row a segment, at most 16384
+            return {r.segment: r for r in out.collect()}  # one row a segment or cell, at most four for each of 16384
 
-    done = {r.segment: r for r in job(word_keys, bounds, write_words(path, segments))}
+    done = job(word_keys, np.array([s * width for s in range(1, segments)], np.uint64), write_words(path, segments))
     sizes = [done[s].words if s in done else 0 for s in range(segments)]
     offsets = (0, *np.cumsum(sizes).tolist())
     facts = Facts(path, segments, offsets, *(sum(getattr(r, k) for r in done.values()) for k in ("tokens", "words", "once", "twice")))
     if facts.words >= 1 << 32:
         raise ValueError("word ids have 32 bits")
     if facts.tokens:
-        bounds = np.array([offsets[s] * facts.words for s in range(1, segments)], np.uint64)
-        got = {r.segment for r in job(pair_keys(facts), bounds, write_pairs(facts, least, discount))}
-        missing = [s for s in range(segments) if sizes[s] and s not in got]
+        hot = max(split, facts.tokens // segments)
+        often = sorted((offsets[s] + i, -(-c // hot)) for s, r in done.items() for i, c in zip(np.frombuffer(r.often, np.int64).tolist(), np.frombuffer(r.counts, np.int64).tolist(), strict=True) if c > hot)
+        ids, ways = tuple(i for i, _ in often), tuple(min(n, facts.words) for _, n in often)
+        facts = replace(facts, cut_ids=ids, cut_parts=ways)
+        cells = facts.cells()
+        got = job(pair_keys(facts), cells[1:-1], write_pairs(facts, least, discount))
+        owner = (cells[:-1] // np.uint64(facts.words)).astype(np.int64)
+        blank = frozenset(range(len(owner))) - got.keys()
+        missing = [s for s in blank if owner[s] not in ids]
         if missing:
-            raise RuntimeError(f"words without successors in segments {missing[:3]}")
+            raise RuntimeError(f"words without successors in cells {missing[:3]}")
+        taken = dict.fromkeys(ids, 0.0)
+        for s, r in got.items():
+            if owner[s] in taken:
+                taken[int(owner[s])] += r.taken
+        facts = replace(facts, cut_weights=tuple(max(1 - taken[i], 1e-6) for i in ids), blank=blank)
     return Model(facts, scratch)
 
 
@@ -439,18 +476,17 @@ def scores(model: Model, docs: DataFrame, text: str = "text", doc_id: str = "doc
             end, which = which[-1], which[:-1]
             v, w = ids[np.append(end, which[:-1])], ids[which]
             base = facts.base(seen)[which]
-            with np.errstate(divide="ignore"):
-                own = np.log10(facts.single(seen))[which]
+            single = facts.single(seen)[which]
+            score = np.log10(single)
             both = np.flatnonzero((v >= 0) & (w >= 0))
             many = np.uint64(max(1, facts.words))  # pairs of 32-bit ids need all 64 bits
             key, at = np.unique(v[both].astype(np.uint64) * many + w[both].astype(np.uint64), return_inverse=True)
-            found, weight = trie.successors((key // many).astype(np.int64), (key % many).astype(np.int64))
-            score = own.copy()
-            score[both] = np.where(np.isnan(found), weight, found)[at] + np.where(np.isnan(found)[at], own[both], 0.0)
+            share, weight = trie.successors((key // many).astype(np.int64), (key % many).astype(np.int64))
+            score[both] = np.log10(share[at] + weight[at] * single[both])
             lone = np.flatnonzero((v >= 0) & (w < 0))
             if len(lone):
                 some, at = np.unique(v[lone], return_inverse=True)
-                score[lone] += trie.successors(some, np.zeros(len(some), np.int64))[1][at] if facts.words else 0.0
+                score[lone] += np.log10(trie.successors(some, np.zeros(len(some), np.int64))[1][at])
             total = [np.bincount(owner, x, len(counts)) for x in (seen[which] > 0, base, score)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(total[0].astype(np.int64)), pa.array(total[1]), pa.array(total[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
@@ -458,9 +494,9 @@ def scores(model: Model, docs: DataFrame, text: str = "text", doc_id: str = "doc
     return rows.mapInArrow(released(run), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def lm_scores(docs: DataFrame, fold: int = 7, held: int = 2, text: str = "text", doc_id: str = "doc_id", least: int = 1) -> DataFrame:
+def lm_scores(docs: DataFrame, fold: int = 7, held: int = 2, text: str = "text", doc_id: str = "doc_id", least: int = 1, segments: int | None = None, split: int = 1 << 16) -> DataFrame:
     """Scores of all documents by a model of those whose crc32 of the doc_id modulo fold isn't held."""
     learn: Column = remainder(F.col(doc_id), fold)
-    model = train(docs.where(F.coalesce(learn != held, F.lit(False))), text, least)
+    model = train(docs.where(F.coalesce(learn != held, F.lit(False))), text, least, segments=segments, split=split)
     done = scores(model, docs, text, doc_id)
     return done.select("doc_id", (remainder(F.col("doc_id"), fold) == held).alias("held_out"), "n_tokens", "n_known", F.lit(model.facts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
