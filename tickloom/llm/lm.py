@@ -38,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import LOWER, Scratch, WordHash, batches, mix, parts, plan_bytes, released, shuffles_dropped, utf8, word_hashes
+from tickloom.llm.common import LOWER, Scratch, WordHash, batches, mix, plan_bytes, released, shuffles_dropped, utf8, word_hashes
 from tickloom.llm.labels import remainder
 
 SEED = 41
@@ -432,7 +432,8 @@ def train(docs: DataFrame, text: str = "text", least: int = 1, discount: float =
     width = (1 << 64) // segments
 
     def job(count, at: np.ndarray, write) -> dict:
-        out = rows.mapInArrow(counted(count, at), COUNTED).repartition(max(len(at) + 1, parts(docs)), "segment").groupBy("segment").applyInArrow(write, MADE)
+        # A task for each segment: hashed, several would meet in one.
+        out = rows.mapInArrow(counted(count, at), COUNTED).repartitionById(len(at) + 1, F.col("segment")).groupBy("segment").applyInArrow(write, MADE)
         with shuffles_dropped(docs.sparkSession):
             return {r.segment: r for r in out.collect()}  # one row a segment or cell, at most four for each of 16384
 
