@@ -50,17 +50,19 @@ def test_exact_odd_rows(docs):
     assert sorted((str(r.doc_id), r.text) for r in same) == [("3", "a b"), ("3", "other"), ("None", "none")]
 
 
-def test_trie_spills_and_keeps_everything():
+def test_trie_spills_and_keeps_everything(tmp_path):
     rng = np.random.default_rng(1)
     keys = [bytes(rng.integers(97, 100, rng.integers(0, 30)).astype(np.uint8)) for _ in range(3000)]
     keys = [b"prefix" + k for k in keys] + keys  # a branching above earlier spills
-    trie = exact_dedup.Trie(4000)
+    trie = exact_dedup.Trie(4000, f"file:{tmp_path}/spilled")
     want: dict[bytes, tuple] = {}
     for i, k in enumerate(keys):
         payload = (i % 5, i, 1)
         trie.add(k, payload)
         want[k] = exact_dedup.better(want[k], payload) if k in want else payload
+    assert len(list((tmp_path / "spilled").iterdir())) > 1
     found = list(trie.items())
+    assert not list((tmp_path / "spilled").iterdir())
     assert len(found) == len(want) and dict(found) == want
 
 

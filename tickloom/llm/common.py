@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path of the shared folder, and the path in it; for tasks, which have no session."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
+    return fs.LocalFileSystem(), path
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name like the one given that no frame has, whatever the case of its letters."""
     taken = {c.lower() for f in frames for c in f.columns}

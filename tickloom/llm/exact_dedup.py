@@ -4,7 +4,8 @@ Texts are equal when they are identical once every character of [\\x20\\x09-\\x0
 texts into a compressed radix trie and sends each different text on once, so a text that a third of all rows share
 crosses the network once for each task. The texts are dealt by length and content hash to owners; an owner's trie holds
 full byte strings, and its terminal nodes the best row seen and the number of rows. A trie over its memory limit spills
-its largest subtree to a local file, which is read back as a trie of its own once the rest has been given out.
+its largest subtree to a file in the shared folder, which is read back as a trie of its own once the rest has been given
+out, and deleted; what failed tasks leave there goes when the session ends.
 
 Defined cases: null text counts as empty, and all empty texts are one group. Of equal texts the row with the most code
 points in its original text stays, then the smallest doc_id, a null doc_id after all others. Rows that repeat a doc_id
@@ -13,15 +14,16 @@ count as rows of their own; each that carries keep_id has kept = true. An empty
 
 from __future__ import annotations
 
+import io
 import pickle
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import SPACES, Scratch, batches, fresh, parts, released
+from tickloom.llm.common import SPACES, Scratch, batches, fresh, parts, place, released
 
 LAST = (1 << 63) - 1
 OWNER = "sha binary, norm binary, len long, h long, n long, id long, rows long"
@@ -52,11 +54,34 @@ def common(a: bytes, b: bytes) -> int:
     return low
 
 
+class Spill:
+    """Records of a subtree in a file of a folder that all machines share: appended one by one, then read once."""
+
+    def __init__(self, folder: str):
+        self.system, folder = place(folder)
+        self.system.create_dir(folder, recursive=True)
+        self.path = f"{folder}/{uuid.uuid4().hex}"
+        self.out = io.BufferedWriter(self.system.open_output_stream(self.path), 1 << 16)
+
+    def add(self, record: tuple[bytes, tuple]) -> None:
+        pickle.dump(record, self.out)
+
+    def records(self) -> Iterator[tuple[bytes, tuple]]:
+        self.out.close()
+        with io.BufferedReader(self.system.open_input_stream(self.path), 1 << 16) as file:
+            while True:
+                try:
+                    yield pickle.load(file)
+                except EOFError:
+                    break
+        self.system.delete_file(self.path)
+
+
 class Trie:
-    """A Patricia trie from byte strings to payloads; what exceeds `most` bytes is spilled by subtree."""
+    """A Patricia trie from byte strings to payloads; what exceeds `most` bytes is spilled by subtree to the folder."""
 
-    def __init__(self, most: int):
-        self.root, self.most, self.bytes = Node(b""), most, 0
+    def __init__(self, most: int, folder: str):
+        self.root, self.most, self.folder, self.bytes = Node(b""), most, folder, 0
 
     def add(self, key: bytes, payload: tuple) -> None:
         node, at = self.root, 0
@@ -70,7 +95,7 @@ class Trie:
                 self.bytes += len(key) - at + 400
                 break
             if child.spill is not None:
-                pickle.dump((key, payload), child.spill)
+                child.spill.add((key, payload))
                 return
             if key.startswith(child.label, at):
                 node, at = child, at + len(child.label)
@@ -97,13 +122,13 @@ class Trie:
         if not held or len(node.children) == 1:
             return False
         size, k = max(held)
-        file = tempfile.TemporaryFile()
+        file = Spill(self.folder)
         for key, x in walk(node.children[k], prefix):
             if x.payload is not None:
-                pickle.dump((key, x.payload), file)
+                file.add((key, x.payload))
             if x.spill is not None:  # an earlier spill, from when this was above the first branching
-                for record in records(x.spill):
-                    pickle.dump(record, file)
+                for record in x.spill.records():
+                    file.add(record)
         gone = Node(node.children[k].label[:1])
         gone.spill = file
         node.children[k] = gone
@@ -119,23 +144,12 @@ class Trie:
                 later.append(x.spill)
         self.root = Node(b"")
         for file in later:
-            sub = Trie(self.most)
-            for record in records(file):
+            sub = Trie(self.most, self.folder)
+            for record in file.records():
                 sub.add(*record)
             yield from sub.items()
 
 
-def records(file) -> Iterator[tuple[bytes, tuple]]:
-    """What a spill file holds; closes it."""
-    with file:
-        file.seek(0)
-        while True:
-            try:
-                yield pickle.load(file)
-            except EOFError:
-                return
-
-
 def walk(node: Node, prefix: bytes) -> Iterator[tuple[bytes, Node]]:
     stack = [(prefix + node.label, node)]
     while stack:
@@ -170,14 +184,14 @@ def give(found: Iterator[tuple[bytes, tuple]], norms: bool) -> Iterator[pa.Recor
         yield batch()
 
 
-def grouped(most: int, norms: bool):
+def grouped(most: int, norms: bool, folder: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(most)
+        trie = Trie(most, folder)
         for key, payload in entries(it):
             trie.add(key, payload)
             if norms and trie.bytes > most // 2:  # an input task needn't hold all it has seen: its owner does
                 yield from give(trie.items(), True)
-                trie = Trie(most)
+                trie = Trie(most, folder)
         yield from give(trie.items(), norms)
 
     return released(run)
@@ -199,8 +213,9 @@ def owners(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: in
         F.coalesce("id", F.lit(LAST)).alias("id"),
         F.lit(1).cast("long").alias("rows"),
     )
-    first = rows.mapInArrow(grouped(most, True), OWNER)
-    owned = first.repartition(parts(docs), "len", "h").mapInArrow(grouped(most, False), OWNER)
+    folder = f"{Scratch(docs.sparkSession, 'exact').path}/spilled"
+    first = rows.mapInArrow(grouped(most, True, folder), OWNER)
+    owned = first.repartition(parts(docs), "len", "h").mapInArrow(grouped(most, False, folder), OWNER)
     return owned.where("rows > 1").select("sha", F.nullif(F.col("id"), F.lit(LAST)).alias("keep_id"), F.col("rows").alias("group_size"))
 
 

@@ -38,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import LOWER, Scratch, WordHash, batches, mix, plan_bytes, released, shuffles_dropped, utf8, word_hashes
+from tickloom.llm.common import LOWER, Scratch, WordHash, batches, mix, place, plan_bytes, released, shuffles_dropped, utf8, word_hashes
 from tickloom.llm.labels import remainder
 
 SEED = 41
@@ -138,9 +138,7 @@ class Store:
         self.path = path
 
     def place(self) -> tuple[fs.FileSystem, str]:
-        if "://" in self.path or self.path.startswith("file:"):
-            return fs.FileSystem.from_uri(self.path if "://" in self.path else "file://" + self.path[5:])
-        return fs.LocalFileSystem(), self.path
+        return place(self.path)
 
     def write(self, name: str, arrays: list[np.ndarray]) -> None:
         system, folder = self.place()
