@@ -248,6 +248,59 @@ def test_decoding_takes_the_best_path():
         assert model.decode(token) == best[1]
 
 
+def plain_score(net: quality.Network, text: bytes) -> float:
+    """The network's probability, one place of one chunk at a time."""
+    pooled = np.zeros(quality.HIDDEN)
+    for at in quality.starts(len(text)).tolist():
+        part = text[at : at + quality.CHUNK]
+        grams = [part[i : i + quality.GRAM] for i in range(max(1, len(part) - quality.GRAM + 1))]
+        part = part.ljust(quality.CHUNK, b"\0")
+        places = range(quality.CHUNK - quality.WIDTH + 1)
+        top = [max(sum(float(net.table[k, part[i + k], f]) for k in range(quality.WIDTH)) for i in places) for f in range(quality.FILTERS)]
+        u = np.array([max(t, 0.0) for t in top] + [len(set(grams)) / len(grams)])
+        pooled = np.maximum(pooled, u @ net.a + net.b)
+    return float(1 / (1 + np.exp(-(pooled @ net.w + net.c[0]))))
+
+
+NETWORK_TEXTS = ["some words of a text", "", "junk! " * 30, " ".join(f"word{i * 7 % 31}" for i in range(140)), "中文 text"]
+
+
+def test_network_scores_are_those_of_plain_loops():
+    net = quality.Network([("abc " * i, i % 2) for i in range(6)], steps=5)
+    assert net(NETWORK_TEXTS).tolist() == pytest.approx([plain_score(net, t.encode()) for t in NETWORK_TEXTS], abs=1e-5)
+
+
+def test_network_gradients_are_those_of_differences():
+    net = quality.Network([])
+    for name in ("table", "a", "b", "w", "c"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.table += 0.05
+    x, have, owner = quality.cut([t.encode() for t in NETWORK_TEXTS])
+    y = np.array([1, 0, 0, 1, 1.0])
+    found = net.gradients(x, have, owner, y)
+
+    def loss() -> float:
+        top = quality.responses(x, net.table).max(axis=1)
+        z = np.maximum(np.hstack([np.maximum(top, 0), quality.novelty(x, have)[:, None]]) @ net.a + net.b, 0)
+        p = np.array([labels.sigmoid(z[owner == i].max(axis=0) @ net.w + net.c)[0] for i in range(len(y))])
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    rng = np.random.default_rng(16)
+    for param, grad in zip((net.table, net.a, net.b, net.w, net.c), found, strict=True):
+        flat, given = param.reshape(-1), np.asarray(grad).reshape(-1)
+        some = np.flatnonzero(given)
+        some = rng.choice(some, min(20, len(some)), replace=False)
+        assert len(some)
+        for i in [*some.tolist(), 0]:
+            here, step = flat[i], 1e-6
+            flat[i] = here + step
+            up = loss()
+            flat[i] = here - step
+            down = loss()
+            flat[i] = here
+            assert given[i] == pytest.approx((up - down) / (2 * step), abs=1e-6)
+
+
 def test_chunks_cover_whole_texts():
     for n in (0, 1, 511, 512, 513, 2000, 5003):
         at = quality.starts(n)

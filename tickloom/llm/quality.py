@@ -90,30 +90,9 @@ class Network:
             which = np.concatenate([rng.choice(kinds[0], half), rng.choice(kinds[1], half)])
             y = np.repeat(np.array([0, 1], np.float32), half)
             x, have, owner = cut([rows[i][0] for i in which], pick)
-            r = responses(x, self.table)
-            place = r.argmax(axis=1)
-            top = np.take_along_axis(r, place[:, None, :], 1)[:, 0]
-            u = np.hstack([np.maximum(top, 0), novelty(x, have)[:, None]]).astype(np.float32)
-            z = np.maximum(u @ self.a + self.b, 0)
-            edge = np.flatnonzero(np.diff(owner, prepend=-1))
-            pooled = np.maximum.reduceat(z, edge)
-            p = sigmoid(pooled @ self.w + self.c)
-            d = ((p - y) / len(y)).astype(np.float32)
-            gw, gc = pooled.T @ d, d.sum(keepdims=True)
-            gp = d[:, None] * self.w
-            hit = (z == pooled[owner]) & (z > 0)
-            first = np.maximum.reduceat(np.where(hit, -np.arange(len(z))[:, None], -(1 << 30)), edge)
-            only = hit & (-np.arange(len(z))[:, None] == first[owner])
-            gz = np.where(only, gp[owner], 0)
-            ga, gb, gu = u.T @ gz, gz.sum(axis=0), gz @ self.a.T
-            gt = np.zeros_like(self.table)
-            gtop = np.where(top > 0, gu[:, :FILTERS], 0)
-            f = np.broadcast_to(np.arange(FILTERS), place.shape)
-            rows_ = np.arange(len(x))[:, None]
-            for k in range(WIDTH):
-                np.add.at(gt[k], (x[rows_, place + k], f), gtop)
+            gradients = self.gradients(x, have, owner, y)
             decay = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-            for q, g, mm, vv in zip(params, (gt, ga, gb, gw, gc), m, v, strict=True):
+            for q, g, mm, vv in zip(params, gradients, m, v, strict=True):
                 g = g + 1e-5 * q
                 mm += 0.1 * (g - mm)
                 vv += 0.01 * (g * g - vv)
@@ -121,6 +100,32 @@ class Network:
         # Batches have as many rows of either kind; the intercept takes up the odds that the kinds really have.
         self.c += np.float32(np.log(self.share / (1 - self.share)))
 
+    def gradients(self, x: np.ndarray, have: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the mean cross-entropy of texts, given as chunks, by table, a, b, w and c. Of equal maxima the first counts."""
+        r = responses(x, self.table)
+        place = r.argmax(axis=1)
+        top = np.take_along_axis(r, place[:, None, :], 1)[:, 0]
+        u = np.hstack([np.maximum(top, 0), novelty(x, have)[:, None]]).astype(self.a.dtype)
+        z = np.maximum(u @ self.a + self.b, 0)
+        edge = np.flatnonzero(np.diff(owner, prepend=-1))
+        pooled = np.maximum.reduceat(z, edge)
+        p = sigmoid(pooled @ self.w + self.c)
+        d = ((p - y) / len(y)).astype(self.w.dtype)
+        gw, gc = pooled.T @ d, d.sum(keepdims=True)
+        gp = d[:, None] * self.w
+        hit = (z == pooled[owner]) & (z > 0)
+        first = np.maximum.reduceat(np.where(hit, -np.arange(len(z))[:, None], -(1 << 30)), edge)
+        only = hit & (-np.arange(len(z))[:, None] == first[owner])
+        gz = np.where(only, gp[owner], 0)
+        ga, gb, gu = u.T @ gz, gz.sum(axis=0), gz @ self.a.T
+        gt = np.zeros_like(self.table)
+        gtop = np.where(top > 0, gu[:, :FILTERS], 0)
+        f = np.broadcast_to(np.arange(FILTERS), place.shape)
+        rows_ = np.arange(len(x))[:, None]
+        for k in range(WIDTH):
+            np.add.at(gt[k], (x[rows_, place + k], f), gtop)
+        return gt, ga, gb, gw, gc
+
     def __call__(self, texts: list[str]) -> np.ndarray:
         if not self.fitted:
             return np.full(len(texts), self.share)
