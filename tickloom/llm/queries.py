@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op8_substring_dedup": substring_dedup.ORACLE_SQL}

@@ -269,3 +269,25 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     grp = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(groups)).cast("int").alias("grp")
     left = rows.select(grp, "doc_id", "text").repartition(groups, "grp")
     return left.groupBy("grp").cogroup(index.answers().groupBy("grp")).applyInArrow(cleaned(size, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+ORACLE_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words
+), windows AS (
+  SELECT doc_id, i, list_slice(w, i, i + 12) AS win FROM starts
+), judged AS (
+  SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY win) AS again FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM judged WHERE again
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
