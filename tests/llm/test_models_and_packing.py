@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 from tickloom.llm import labels, lm, mixing, order_minhash, packing, quality, queries, toxicity
+from tickloom.llm.common import long_hash
 from tickloom.llm.queries import tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,6 +164,56 @@ def test_sample_takes_one_text_a_doc_id_and_long_ones_too(docs, spark):
     assert sorted(len(t) for t, _ in labels.sample(rows, marks, "toxic", F.lit(True), signs=100)) in ([0, 4], [0, 5])
 
 
+def test_toxicity_learns_from_all_labelled_rows(docs, spark):
+    """Of more labelled documents than a sample holds, words that only the later ones have count too."""
+    n = 5600
+    by = [i for i in np.argsort(long_hash(np.arange(n)), kind="stable").tolist() if zlib.crc32(str(i).encode()) % 5]
+    late = set(by[labels.MOST :])
+    assert len(late) > 200
+    rng = np.random.default_rng(8)
+    words = np.array([f"{a}{b}" for a in ("ba", "de", "mi", "ro", "su") for b in ("ka", "lo", "ne", "ti", "pu")])
+    plain = [" ".join(words[rng.integers(0, len(words), 12)]) for _ in range(n + 40)]
+    bad = lambda i: i % 4 == 0
+    rows = [(i, plain[i] + (" fiendish" if i in late else " scoundrel") * bad(i)) for i in range(n)]
+    rows += [(n + i, plain[n + i] + " fiendish" * bad(i)) for i in range(40)]
+    marks = spark.createDataFrame([(i, 1, int(bad(i))) for i in range(n)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs(rows), marks).collect()}
+    assert [got[n + i] for i in range(40)] == [int(bad(i)) for i in range(40)]
+
+
+def test_toxicity_counts_are_those_of_plain_loops(docs, marked, label_table):
+    """Known words, trigrams, lexicon and weights, with near copies left out of the lexicon."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, t) for i, t, _, _ in marked] + [(10_000, marked[1][1] + " baka")]
+    got = toxicity.fit(docs(rows).repartition(5), label_table, F.lit(True))
+    y = {i: t for i, _, _, t in marked} | {10_000: 0}
+    counts = Counter(w for _, t in rows for w in toxicity.plain_words(t))
+    plain = toxicity.Restorer(counts, {w for w, n in counts.items() if n > 2})
+    assert got.restore.known == plain.known and got.restore.model.triple == plain.model.triple
+    seen, df, total = set(), (Counter(), Counter()), [0, 0]
+    for i, t in rows:
+        least = list(enumerate(toxicity.minhashes(toxicity.LETTERS.findall(t.lower()))))
+        if sum(m in seen for m in least) < 2:
+            total[y[i]] += 1
+            df[y[i]].update(toxicity.units(set(got.restore.words(t))))
+        seen.update(least)
+    assert sum(total) < len(rows)  # the near copy, at least
+    several = sum(n + df[0][w] > 2 for w, n in df[1].items())
+    strong, share, want = min(20.0, 2 * math.log(max(several, 20))), total[1] / sum(total), {}
+    for w, n1 in df[1].items():
+        n0 = df[0][w]
+        n = n0 + n1
+        ratio = 2 * (n1 * math.log(n1 / (n * share)) + (n0 and n0 * math.log(n0 / (n * (1 - share)))))
+        odds = math.log((n1 + 0.5) / (total[1] + 1)) - math.log((n0 + 0.5) / (total[0] + 1))
+        if n1 / n > share and ratio >= strong and odds >= 2:
+            want[w] = odds
+    assert got.lexicon == pytest.approx(want) and "scoundrel" in want
+    x = np.array([got.features(got.restore.words(t)) for _, t in rows])
+    assert got.center == pytest.approx(x.mean(axis=0)) and got.scale == pytest.approx(x.std(axis=0) + 1e-6)
+    assert got.weights == pytest.approx(labels.logistic((x - got.center) / got.scale, np.array([y[i] for i, _ in rows])), abs=1e-6)
+
+
 def test_quality_knows_how_rare_a_label_is():
     """Texts that say nothing are scored by the share of label 1, whatever the balance of training batches."""
     rng = np.random.default_rng(14)

@@ -5,7 +5,8 @@ of these becomes a lattice of readings with channel costs; Viterbi decoding unde
 likeliest word, with a bonus for words known from training; a hidden letter (*) is one of the 40 commonest, or any that
 goes on with a known word. The restored texts are scored by a lexicon of words and
 beginnings of words, and a logistic regression over what the lexicon finds in a text. Character model, known words, lexicon and regression are all learned
-from a bounded sample of labelled documents (labels.py); their size follows that bound.
+from all labelled documents, by distributed counts and sums. Only the model reaches the driver: trigrams of letters, words that are at least KNOWN_SHARE
+of all words (so at most 1 / KNOWN_SHARE), and the lexicon's units that pass its test.
 
 Plain words are their own only reading and are not decoded unless they have a letter three times in a row, or twice and
 aren't known. Tokens of more than LONG_TOKEN signs are decoded in stretches that overlap by half. Letters with gaps between
@@ -22,8 +23,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import batches, fresh, released
-from tickloom.llm.labels import MOST, logistic, remainder, sample, sigmoid
+from tickloom.llm.common import Scratch, batches, fresh, mix, odd, released, rolling
+from tickloom.llm.labels import learned, logistic_rows, remainder, sigmoid
 
 #: Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "§": "s", "¡": "i", "&": "", "*": "", "#": "", "%": ""}
@@ -41,6 +43,10 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: run together. And what a reading gains that is a known word of four letters or more.
 READ, DROP, SKIP, HIDDEN, RUN = 0.5, 5.0, 1.0, 3.0, 0.5
 KNOWN_BONUS = 7.0
+#: Share of all words that a known word has at least, beside three occurrences.
+KNOWN_SHARE = 1.5e-6
+#: Minhashes by which near copies are found; different words that a task counts before it gives them.
+COPIES, COUNTED = 4, 1 << 18
 #: Signs of a stretch that is decoded at a time; longer tokens are decoded in stretches that overlap by half.
 LONG_TOKEN = 40
 #: Where a path has left all known words.
@@ -56,19 +62,25 @@ SEPARATORS = re.compile(r"[ .\-_*~]")
 LONG_RUN = re.compile(r"([^\w\s])\1\1+$")
 
 
+def triples(words: Counter) -> Counter:
+    """Counts of the trigrams of words, two blanks before each and one after."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        s = f"  {w} "
+        for i in range(2, len(s)):
+            out[s[i - 2 : i + 1]] += n
+    return out
+
+
 class CharModel:
     """Trigrams of the letters of words, with added counts and a fall back on single letters."""
 
-    def __init__(self, words: Counter):
+    def __init__(self, triple: Counter):
         single: Counter = Counter()
-        triple: Counter = Counter()
         pair: Counter = Counter()
-        for w, n in words.items():
-            s = f"  {w} "
-            for i in range(2, len(s)):
-                single[s[i]] += n
-                triple[s[i - 2 : i + 1]] += n
-                pair[s[i - 2 : i]] += n
+        for t, n in triple.items():
+            single[t[2]] += n
+            pair[t[:2]] += n
         total = sum(single.values()) + len(single) + 1
         self.single = {c: (n + 1) / total for c, n in single.items()}
         self.unknown = 1 / total
@@ -81,8 +93,9 @@ class CharModel:
 
 
 class Restorer:
-    def __init__(self, words: Counter, known: set[str]):
-        self.model, self.known = CharModel(words), known
+    def __init__(self, words: Counter, known: set[str], triple: Counter | None = None):
+        """triple: counts of the words' trigrams, where they have been taken already."""
+        self.model, self.known = CharModel(triples(words) if triple is None else triple), known
         self.letters = "".join(c for c, _ in Counter({c: p for c, p in self.model.single.items() if c.isalpha()}).most_common(40))
         self.ready()
 
@@ -128,8 +141,16 @@ class Restorer:
         paths: dict[tuple[str, str], tuple[float, str]] = {("  ", ""): (0.0, "")}
         cost, begin = self.model.cost, self.beginnings
         for run in re.finditer(r"(.)\1*", token):
-            options = self.readings(run[1], len(run[0]))
             ahead: dict[tuple[str, str], tuple[float, str]] = {}
+            if (c := run[0]).isalpha() and len(c) == 1:  # its own only reading
+                for (pair, _), (paid, word) in paths.items():
+                    own = word + c
+                    key, add = (pair[1] + c, own if own in begin else NO_WORD), paid + cost(pair, c)
+                    if key not in ahead or (add, own) < ahead[key]:
+                        ahead[key] = (add, own)
+                paths = ahead
+                continue
+            options = self.readings(run[1], len(run[0]))
             for (pair, start), (paid, word) in paths.items():
                 known = begin.get(word, "") if run[0] == "*" and start == word else ""
                 for letters, price in options + [(c, HIDDEN) for c in known if c not in self.letters]:
@@ -187,20 +208,17 @@ class Restorer:
     def words(self, text: str) -> list[str]:
         """The words of a text and, where signs, spaces or repetition may hide others, those too."""
         low = text.lower()
-        out, odd = [], []
-        for t in low.split():
-            if t.isalpha():
-                out.append(t)
-            elif (s := t.strip(EDGE)).isalpha():
+        tokens = low.split()
+        out = list(filter(str.isalpha, tokens))
+        for t in filterfalse(str.isalpha, tokens):
+            if (s := t.strip(EDGE)).isalpha():
                 out.append(s)
             else:
-                odd.append(t)
-        for t in odd:
-            out += self.token(t)
-        for w in set(out):
+                out += self.token(t)
+        for w in list(filter(DOUBLED.search, set(out))):
             if REPEATED.search(w):
                 out += self.restored(w)
-            elif DOUBLED.search(w) and w not in self.known:
+            elif w not in self.known:
                 out += [x for x in self.restored(w) if x != w]
         for m in SPACED.finditer(low):
             for part in spaced_words(m[0]):
@@ -224,18 +242,32 @@ def spaced_words(run: str) -> list[str]:
     return out if len(out) < 2 else [*out, run]
 
 
-def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """Drops near copies from a training sample, whose words would count as often as there are copies."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for text, y in rows:
-        words = LETTERS.findall(text.lower())
-        shingles = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
-        least = [(s, min(xxhash.xxh64_intdigest(x, s) for x in shingles)) for s in range(4)]
-        if sum(k in seen for k in least) < 2:
-            out.append((text, y))
-        seen.update(least)
-    return out
+def minhashes(words: list[str]) -> list[int]:
+    """COPIES minhashes of a text's sets of three words; one set of all words where they are fewer."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    sets = rolling(h, max(1, min(3, len(h))), 0) if len(h) else np.zeros(1, np.uint64)
+    return [int(mix(sets * odd(s)).min()) for s in range(COPIES)]
+
+
+def firsts(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of texts (doc_id, text) the doc_ids without near copies, whose words would count as often as there are copies.
+
+    A near copy shares two or more minhashes with texts of smaller doc_ids. Texts that share all are one before shuffles by minhash.
+    """
+    names = [f"m{s}" for s in range(COPIES)]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, "text", 1 << 20):
+            least = [minhashes(LETTERS.findall(t.lower())) for t in b.column("text").to_pylist()]
+            columns = np.array(least, np.uint64).view(np.int64).T
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, columns)], names=["doc_id", *names])
+
+    marked = texts.select("doc_id", "text").mapInArrow(released(run), "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    alone = scratch.write(marked.groupBy(*names).agg(F.min("doc_id").alias("doc_id")), "minhashes")
+    each = alone.select("doc_id", F.posexplode(F.array(*names)).alias("s", "m"))
+    own = each.groupBy("s", "m").agg(F.min("doc_id").alias("first"))
+    seen = each.join(own, ["s", "m"]).groupBy("doc_id").agg(F.sum((F.col("first") < F.col("doc_id")).cast("int")).alias("n"))
+    return scratch.write(seen.where("n < 2").select("doc_id"), "firsts")
 
 
 #: Letters of the beginnings of words that the lexicon may hold besides whole words.
@@ -247,48 +279,12 @@ def units(words: set[str]) -> set[str]:
 
 
 class Toxicity:
-    """A fitted scorer: call it with texts."""
-
-    def __init__(self, rows: list[tuple[str, int]], strong: float | None = None):
-        self.share = sum(y for _, y in rows) / len(rows) if rows else 0.0
-        self.lexicon: dict[str, float] = {}
-        self.heads: set[str] = set()
-        self.weights = None
-        plain: Counter = Counter()
-        for text, _ in rows:
-            plain.update(LETTERS.findall(text.lower()))
-        short = Counter({w: n for w, n in plain.items() if len(w) <= LONG_TOKEN})
-        self.restore = Restorer(short, {w for w, n in short.items() if n > 2})
-        if not 0 < self.share < 1:
-            return
-        df = (Counter(), Counter())
-        total = [0, 0]
-        for text, y in without_copies(rows):
-            df[y].update(units(set(self.restore.words(text))))
-            total[y] += 1
-        if min(total):
-            self.choose(df, total, strong)
-        x = np.array([self.features(t) for t, _ in rows])
-        self.center, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        self.weights = logistic((x - self.center) / self.scale, np.array([y for _, y in rows]))
-
-    def choose(self, df: tuple[Counter, Counter], total: list[int], strong: float | None) -> None:
-        """Units whose counts of documents by class differ by a log-likelihood ratio of at least `strong`.
-
-        By itself that is what chance gives one of all the units that stand in three documents or more, 20 at most.
-        """
-        several = sum(n + df[0][w] > 2 for w, n in df[1].items())
-        strong = min(20.0, 2 * math.log(max(several, 20))) if strong is None else strong
-        share = total[1] / sum(total)
-        for w, n1 in df[1].items():
-            n = n1 + df[0][w]
-            if n1 / n <= share:
-                continue
-            ratio = 2 * (n1 * math.log(n1 / (n * share)) + (df[0][w] and df[0][w] * math.log(df[0][w] / (n * (1 - share)))))
-            odds = math.log((n1 + 0.5) / (total[1] + 1)) - math.log((df[0][w] + 0.5) / (total[0] + 1))
-            if ratio >= strong and odds >= 2:
-                self.lexicon[w] = odds
-        self.heads = {w[: BEGIN[0]] for w in self.lexicon if w[-1] == "*"}
+    """A fitted scorer: call it with texts. Without a lexicon and weights, all scores are `share`."""
+
+    def __init__(self, share: float, restore: Restorer, lexicon: dict[str, float]):
+        self.share, self.restore, self.lexicon = share, restore, lexicon
+        self.heads = {w[: BEGIN[0]] for w in lexicon if w[-1] == "*"}
+        self.center = self.scale = self.weights = None
 
     def weight(self, word: str) -> float:
         """What the lexicon says about a word, by itself or its beginning; 0 if nothing."""
@@ -298,8 +294,8 @@ class Toxicity:
             own = max(own, *(get(word[:k] + "*", 0.0) for k in BEGIN if len(word) > k), 0.0)
         return own
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
-        words = self.restore.words(text)
+    def features(self, words: list[str]) -> tuple[float, float, float, float]:
+        """Of a text's restored words."""
         heads, n = self.heads, BEGIN[0]
         hits = [w for w in words if w in self.lexicon or w[:n] in heads]
         kinds = {w: x for w in set(hits) if (x := self.weight(w))}
@@ -309,17 +305,116 @@ class Toxicity:
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.share)
-        x = (np.array([self.features(t) for t in texts]).reshape(-1, 4) - self.center) / self.scale
+        x = (np.array([self.features(self.restore.words(t)) for t in texts]).reshape(-1, 4) - self.center) / self.scale
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = MOST) -> Toxicity:
-    return Toxicity(sample(docs, labels, label, learn, text, doc_id, most))
+def units_of(words: str) -> set[str]:
+    return units(set(words.split(" "))) if words else set()
+
+
+def counted(rows: DataFrame, column: str, find: Callable[[str], Iterable[str]], kinds: int = 1) -> DataFrame:
+    """word, and n0 and on: how often `find` gives it of the column's texts, by their y if there are several kinds."""
+    names = [f"n{k}" for k in range(kinds)]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [Counter() for _ in names]
+
+        def out() -> pa.RecordBatch:
+            words = list(set().union(*held))
+            counts = [pa.array([h[w] for w in words], pa.int64()) for h in held]
+            for h in held:
+                h.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *counts], names=["word", *names])
+
+        for b in batches(it, column, 1 << 20):
+            for t, y in zip(b.column(column).to_pylist(), b.column("y").to_pylist(), strict=True):
+                held[y if kinds > 1 else 0].update(find(t))
+            if sum(map(len, held)) > COUNTED:
+                yield out()
+        yield out()
+
+    found = rows.select(column, "y").mapInArrow(released(run), "word string, " + ", ".join(f"{n} long" for n in names))
+    return found.groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def restorer(texts: DataFrame, scratch: Scratch) -> Restorer:
+    """The character model and the known words of all texts."""
+    words = scratch.write(counted(texts, "text", plain_words), "words")
+    total = words.agg(F.sum("n0")).first()[0] or 0
+    known = words.where(F.col("n0") > max(2, KNOWN_SHARE * total)).select("word").toPandas()["word"]
+    padded = F.concat(F.lit("  "), "word", F.lit(" "))
+    grams = words.select("n0", padded.alias("s")).select("n0", "s", F.explode(F.sequence(F.lit(1), F.char_length("s") - 2)).alias("at"))
+    grams = grams.groupBy(F.expr("substring(s, at, 3)").alias("gram")).agg(F.sum("n0").alias("n")).toPandas().sort_values("gram")
+    return Restorer(Counter(), set(known), Counter(dict(zip(grams["gram"], grams["n"].tolist(), strict=True))))
+
+
+def plain_words(text: str) -> list[str]:
+    return [w for w in LETTERS.findall(text.lower()) if len(w) <= LONG_TOKEN]
+
+
+def lexicon(counts: DataFrame, total: list[int]) -> dict[str, float]:
+    """Log odds of units (word, n0, n1) whose counts of documents by class differ by a log-likelihood ratio of `strong`.
+
+    That is what chance gives one of all the units that stand in three documents or more, 20 at most. total: documents.
+    """
+    seen = counts.where("n1 > 0").withColumn("n", F.col("n0") + F.col("n1"))
+    strong = min(20.0, 2 * math.log(max(seen.where("n > 2").count(), 20)))
+    share = total[1] / sum(total)
+    n0, n1, n = F.col("n0"), F.col("n1"), F.col("n")
+    ratio = 2 * (n1 * F.log(n1 / (n * share)) + F.when(n0 > 0, n0 * F.log(n0 / (n * (1 - share)))).otherwise(0.0))
+    odds = F.log((n1 + 0.5) / (total[1] + 1)) - F.log((n0 + 0.5) / (total[0] + 1))
+    found = seen.where((n1 / n > share) & (ratio >= strong)).select("word", odds.alias("odds")).where("odds >= 2").toPandas()
+    return dict(zip(found["word"], found["odds"].tolist(), strict=True))
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Toxicity:
+    """Learns from all documents with a label for which `learn`, a condition on the column doc_id, holds.
+
+    Texts, and then their restored words, are kept in the shared folder while the fit lasts.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
+    texts = scratch.write(learned(docs, labels, label, learn, text, doc_id), "texts")
+    n, ones = texts.agg(F.count(F.lit(1)), F.sum("y")).first()
+    share = ones / n if n else 0.0
+    if not 0 < share < 1:
+        scratch.drop()
+        return Toxicity(share, Restorer(Counter(), set()), {})
+    restore = restorer(texts, scratch)
+    sent = spark.sparkContext.broadcast(restore)
+
+    def restored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, "text"):
+            words = [" ".join(sent.value.words(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("first"), pa.array(words, pa.string())], names=["y", "first", "words"])
+
+    marked = texts.join(firsts(texts, scratch).withColumn("first", F.lit(True)), "doc_id", "left")
+    rows = scratch.write(marked.select("y", "first", "text").mapInArrow(released(restored), "y int, first boolean, words string"), "restored")
+    scratch.drop("texts")
+    alone = rows.where("first")
+    by = dict(alone.groupBy("y").agg(F.count(F.lit(1))).collect())
+    total = [by.get(0, 0), by.get(1, 0)]
+    counts = scratch.write(counted(alone, "words", units_of, 2), "units")
+    model = Toxicity(share, restore, lexicon(counts, total) if min(total) else {})
+    whole = spark.sparkContext.broadcast(model)
+    names = ["f0", "f1", "f2", "f3"]
+
+    def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, "words"):
+            x = np.array([whole.value.features(t.split(" ") if t else []) for t in b.column("words").to_pylist()], np.float64)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), b.column("y")], names=[*names, "y"])
+
+    found = rows.select("words", "y").mapInArrow(released(features), ", ".join(f"{c} double" for c in names) + ", y int")
+    model.center, model.scale, model.weights = logistic_rows(scratch.write(found, "features"), names)
+    for b in (sent, whole):
+        b.unpersist()
+    scratch.drop()
+    return model
 
 
 def scored(docs: DataFrame, model, text: str = "text", column: str = "score") -> DataFrame:
     """docs with a column that holds the model's scores of the texts. model: called with a list of texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the bounds of the sample
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     own = fresh("text_read", docs)
     rows = docs.withColumn(own, F.coalesce(F.col(text), F.lit("")))
     names = docs.columns
@@ -333,16 +428,16 @@ def scored(docs: DataFrame, model, text: str = "text", column: str = "score") ->
     return rows.mapInArrow(released(run), kind)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, text: str = "text", doc_id: str = "doc_id", most: int = MOST) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted of every document; labels are learned only where crc32 mod fold isn't held."""
-    model = fit(docs, labels, remainder(F.col("doc_id"), fold) != held, text, doc_id, most=most)
+    model = fit(docs, labels, remainder(F.col("doc_id"), fold) != held, text, doc_id)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     result = scored(rows, model)
     return result.select("doc_id", (remainder(F.col("doc_id"), fold) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = MOST) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents with a score below 0.5, with all their columns; learns from all labels."""
-    model = fit(docs, labels, F.lit(True), text, doc_id, most=most)
+    model = fit(docs, labels, F.lit(True), text, doc_id)
     score = fresh("score", docs)
     return scored(docs, model, text, score).where(F.col(score) < 0.5).select(*docs.columns)
