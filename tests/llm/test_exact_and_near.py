@@ -156,6 +156,29 @@ def test_keep_one_takes_near_copies_of_five_word_similarity(docs):
     assert kept == set(range(40)) | far | {1000}
 
 
+def test_keep_one_links_close_fingerprints(docs):
+    """Texts that repeat one sentence and end differently: close fingerprints, sets of a similarity below 0.8."""
+    rng = np.random.default_rng(4)
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, bits = [], []
+    while len(rows) < 24:
+        sentence = [f"s{x}" for x in rng.integers(0, 9000, 11)] * 8
+        a, b = (sentence + [f"e{x}" for x in rng.integers(0, 9000, 14)] for _ in range(2))
+        assert len(sets(a) & sets(b)) < 0.8 * len(sets(a) | sets(b))
+        differ = bin(fingerprint(" ".join(a)) ^ fingerprint(" ".join(b))).count("1")
+        if differ <= 4:
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+            bits.append(differ)
+    assert len(set(bits)) > 1  # equal ones and others
+    comp = components_expected([(i, fingerprint(t)) for i, t in rows])
+    assert set(comp.values()) == set(range(0, 24, 2))
+    assert {r.doc_id for r in simhash.keep_one(docs(rows)).collect()} == set(comp.values())
+    bridge = [(30, rows[1][1] + " more"), (-1, rows[0][1] + " end")]  # by sets of the one and of the other text
+    assert {r.doc_id for r in simhash.keep_one(docs(rows + bridge)).collect()} == set(comp.values()) - {0} | {-1}
+    with pytest.raises(ValueError):
+        simhash.keep_one(docs([]), most=5)
+
+
 def test_entries_apart_are_compared_once_and_with_all_of_their_band():
     rng = np.random.default_rng(6)
     whole = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))

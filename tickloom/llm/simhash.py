@@ -35,7 +35,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MASKS = tuple(((1 << w) - 1) << b for b, w in SEGMENTS)
 #: Entries of a variant that one task compares with each other.
 BLOCK = 4096
-#: Bands of minhashes by which keep_one finds candidates, and minhashes of each.
+#: Bands of minhashes by which keep_one finds what fingerprints leave unconnected, and minhashes of each.
 BANDS, ROWS = 32, 4
 
 
@@ -263,20 +263,22 @@ def bands(shingles: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.nda
 
 
 def set_rows(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
-    """doc_id, th, set, keys of every document: hashes of its text and of its set of shingles, and the set's bands."""
+    """doc_id, th, fp, set, keys of every document: its text's hash and fingerprint, the hash of its set of shingles, the set's bands."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, own = WordHash(SEED), mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
         factor, shift = own[::2] | np.uint64(1), own[1::2]
         for b in batches(it, "text", 1 << 18):
-            sets = shingle_sets(utf8(b.column("text")), size, hasher)
+            texts = utf8(b.column("text"))
+            fps = np.array([fingerprint(t) for t in texts], np.uint64)
+            sets = shingle_sets(texts, size, hasher)
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
             keys = np.concatenate([bands(s, factor, shift) for s in sets])
             keys = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(ids.view(np.int64)), keys], names=["doc_id", "th", "set", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fps.view(np.int64)), pa.array(ids.view(np.int64)), keys], names=["doc_id", "th", "fp", "set", "keys"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(released(run), "doc_id long, th long, set long, keys array<long>")
+    return rows.mapInArrow(released(run), "doc_id long, th long, fp long, set long, keys array<long>")
 
 
 def text_hash(text: str) -> Column:
@@ -351,9 +353,21 @@ def alike(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, size: int, share: float) -> DataFrame:
-    """doc_id, th and component of every document: one component for what links of similarity `share` connect."""
+def fingerprint_links(marked: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """Links (a, b) between sets that connect those whose texts' fingerprints differ by at most `most` bits. marked: fp, set."""
+    both = marked.select("fp", "set").distinct()
+    least = scratch.write(both.groupBy("fp").agg(F.min("set").alias("own")), "prints")
+    forests = link_forests(least.select("fp", F.col("fp").alias("id")), scratch, most)
+    ends = [least.select(F.col("fp").alias(c), F.col("own").alias(f"own_{c}")) for c in ("a", "b")]
+    across = forests.join(ends[0], "a").join(ends[1], "b").select("own_a", "own_b")
+    links = both.join(least, "fp").select("own", "set").unionAll(across).toDF("x", "y")  # equal fingerprints, then close ones
+    return scratch.write(links.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "close")
+
+
+def near_copies(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, size: int, share: float, most: int) -> DataFrame:
+    """doc_id, th and component of every document: one component for what links of fingerprints or of similarity `share` connect."""
     marked = scratch.write(set_rows(docs, text, doc_id, size), "sets")
+    printed = fingerprint_links(marked, scratch, most)
     entries = marked.select(F.explode("keys").alias("key"), F.col("set").alias("id")).distinct()
     dealt = entries.repartition("key").sortWithinPartitions("key", "id")
     close = scratch.write(dealt.mapInArrow(neighbours, "key long, a long, b long"), "neighbours")
@@ -372,7 +386,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, size:
     sets = scratch.write(texts.join(wanted.hint("merge"), "th").select("set", "keys", "text").mapInArrow(released(shingles), "set long, keys array<long>, shingles binary").dropDuplicates(["set"]), "shingles")
 
     tried = scratch.write(close.select("a", "b").distinct(), "tried")
-    links = scratch.write(alike(tried, sets, share), "alike")
+    links = printed.unionAll(scratch.write(alike(tried, sets, share), "alike"))
     low = components(links, Scratch(docs.sparkSession, "near"))
     # Entries of a band that are not connected yet are compared with all others of it that they are not connected with.
     named = shared.join(low.select(F.col("b").alias("id"), "a"), "id", "left").select("key", "id", F.coalesce("a", "id").alias("low"))
@@ -385,19 +399,23 @@ def near_copies(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, size:
     return marked.join(low, "set", "left").select("doc_id", "th", F.coalesce("a", "set").alias("component"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, share: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, share: float = 0.8, most: int = 4) -> DataFrame:
     """Of documents that near copies connect the one with the smallest doc_id, with all its columns.
 
     A null doc_id comes after all others; of several texts with the smallest doc_id the one with the least hash stays,
     and of rows that repeat both any one.
 
-    Near copies have sets of word shingles with a Jaccard similarity of `share` or more. The fingerprints of such texts
+    Near copies have fingerprints that differ by at most `most` bits, found by deletion variants as in simhash_dedup.
+    Texts whose sets of `size` words have a Jaccard similarity of `share` or more are near copies too. Their fingerprints
     differ by about 10 of 64 bits and by 13 or more often enough, which segments can't find without comparing nearly
-    everything; so candidates share one of 32 bands of 4 minhashes (a pair of similarity 0.8 has none in common once in
-    2e7), and sets are compared whole. Neighbours of each band are compared first; of the rest only what isn't connected by then.
+    everything; so what fingerprints leave unconnected is looked for among texts that share one of 32 bands of 4 minhashes (a
+    pair of similarity 0.8 has none in common once in 2e7), and sets are compared whole. Neighbours of each band are
+    compared first; of the rest only what isn't connected by then, by fingerprints or by sets.
     """
+    if not 0 <= most <= 4:
+        raise ValueError("three segments find up to 4 differing bits")
     scratch = Scratch(docs.sparkSession, "near")
-    found = near_copies(docs, scratch, text, doc_id, size, share).withColumn("none", F.col("doc_id").isNull())
+    found = near_copies(docs, scratch, text, doc_id, size, share, most).withColumn("none", F.col("doc_id").isNull())
     order = F.struct("none", "doc_id", "th")
     kept = found.groupBy("component").agg(F.min(order).alias("of")).select("of.doc_id", "of.th")
     own_id, own_th = fresh("kept_id", docs), fresh("kept_hash", docs)
