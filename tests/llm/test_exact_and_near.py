@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -289,6 +290,28 @@ def test_passages(docs, corpus, batches, runs):
     assert sorted(map(tuple, got.collect())) == passages_expected(corpus, 13)
 
 
+def test_passages_files_of_a_batch(spark, tmp_path, monkeypatch):
+    """Five megabytes of text make one file of fingerprints and one of answers; and many buckets give the same result."""
+    rng = random.Random(8)
+    words = [rng.randbytes(200).hex() for _ in range(12_000)]
+    rows = [(i, " ".join(words[i * 100 : i * 100 + 130])) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    files: list[str] = []
+    drop = substring_dedup.FingerprintIndex.drop
+
+    def counted(index):
+        files.extend(f for t in index.tables for f in spark.table(t).inputFiles())
+        drop(index)
+
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "drop", counted)
+    for bucket_bytes, least, most in ((substring_dedup.BUCKET_BYTES, 1, 2), (256 << 10, 8, 64)):
+        monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", bucket_bytes)
+        files.clear()
+        got = substring_dedup.remove_repeats(spark.read.parquet(f"{tmp_path}/documents"), batch_count=2)
+        assert sorted(map(tuple, got.collect())) == passages_expected(rows, 13)
+        assert least <= len(files) <= most
+
+
 def test_passages_odd_rows(docs):
     assert substring_dedup.remove_repeats(docs([])).collect() == []
     text = " ".join(f"v{i}" for i in range(20))

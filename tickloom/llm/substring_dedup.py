@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,10 @@ from tickloom.llm.common import WORD, Scratch, WordHash, batches, long_hash, par
 
 #: Seeds of the hash that buckets, sorts and merges, and of the one that verifies.
 MERGE, VERIFY = 11, 12
-BUCKET = "bucket int, h binary, tag binary, doc binary, docs binary"
+#: Bytes of input for each bucket. A bucket has up to one file a run and one of answers for each batch, and for each file
+#: Hadoop's local file system starts two processes (chmod) where it lacks its native library.
+BUCKET_BYTES = 8 << 20
+BUCKET = "bucket int, grp int, h binary, tag binary, doc binary, docs binary"
 FOUND = "kind string, bucket int, grp int, h binary, tag binary, doc binary"
 ANSWER = "grp int, doc binary, h binary"
 
@@ -63,7 +67,7 @@ def answers(doc: np.ndarray, h: np.ndarray, groups: int) -> Iterator[tuple[int,
 
 
 def batch_windows(size: int, buckets: int, groups: int):
-    """Fingerprints of a batch by bucket, and answers that need no other task (bucket -1 - group)."""
+    """Fingerprints of a batch by bucket (grp -1), and answers that need no other task, dealt to the buckets by group."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = [WordHash(MERGE), WordHash(VERIFY)]
@@ -81,14 +85,14 @@ def batch_windows(size: int, buckets: int, groups: int):
             first = doc[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h) else doc
             again = ~new & np.concatenate([[False], doc[1:] == doc[:-1]])[: len(doc)]
             own = ~again & (ids[doc] > ids[first])
-            rows = [(-1 - g, x, b"", d, b"") for g, d, x in answers(ids[doc[own]], h[own], groups)]
+            rows = [(g % buckets, g, x, b"", d, b"") for g, d, x in answers(ids[doc[own]], h[own], groups)]
             h, tag, doc = h[new], tag[new], doc[new].astype(np.uint32)
             table = ids.tobytes()
             at = np.searchsorted(h >> np.uint64(40), np.arange(buckets + 1, dtype=np.uint64) * np.uint64((1 << 24) // buckets))
-            rows += [(k, h[s:e].tobytes(), tag[s:e].tobytes(), doc[s:e].tobytes(), table) for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
+            rows += [(k, -1, h[s:e].tobytes(), tag[s:e].tobytes(), doc[s:e].tobytes(), table) for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
             if rows:
-                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "h", "tag", "doc", "docs"])
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "grp", "h", "tag", "doc", "docs"])
 
     return released(run)
 
@@ -114,34 +118,33 @@ def merge(compact: bool, groups: int, keep: bool):
     """Joins a bucket of a batch with the historical runs: the new run (or, compacting, all in one) and the answers."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
         bucket = int((left if left.num_rows else right).column("bucket")[0].as_py())
-        if bucket < 0:
-            rows = [("answer", bucket, -1 - bucket, h, b"", d) for h, d in zip(left.column("h").to_pylist(), left.column("doc").to_pylist(), strict=True)]
-        else:
-            h, tag = column(left, "h", np.uint64), column(left, "tag", np.uint32)
-            doc = [t[d] for t, d in zip(column(left, "docs", np.int64), column(left, "doc", np.uint32), strict=True)]
-            h, tag, doc = (np.concatenate([np.zeros(0, k), *x]) for x, k in ((h, np.uint64), (tag, np.uint32), (doc, np.int64)))
-            by = np.lexsort((doc, tag, h))
-            h, tag, doc = h[by], tag[by], doc[by]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])
-            which = np.cumsum(new) - 1
-            fresh_h, fresh_tag = h[new], tag[new]
-            old = np.zeros(len(fresh_h), bool)
-            runs = list(zip(column(right, "h", np.uint64), column(right, "tag", np.uint32), strict=True))
-            for run_h, run_tag in runs:
-                old |= known(fresh_h, fresh_tag, run_h, run_tag)
-            repeated = old[which] | (doc > doc[np.flatnonzero(new)[which]]) if len(h) else np.zeros(0, bool)
-            rows = [("answer", bucket, g, x, b"", d) for g, d, x in answers(doc[repeated], h[repeated], groups)]
-            if keep:
-                made_h, made_tag = fresh_h[~old], fresh_tag[~old]
-                if compact:
-                    made_h, made_tag = np.concatenate([made_h, *(r[0] for r in runs)]), np.concatenate([made_tag, *(r[1] for r in runs)])
-                    by = np.lexsort((made_tag, made_h))
-                    made_h, made_tag = made_h[by], made_tag[by]
-                if len(made_h):
-                    rows.append(("run", bucket, -1, made_h.tobytes(), made_tag.tobytes(), b""))
+        own = left.filter(pc.greater_equal(left.column("grp"), 0))
+        left = left.filter(pc.less(left.column("grp"), 0))
+        rows = [("answer", bucket, g, h, b"", d) for g, h, d in zip(*(own.column(c).to_pylist() for c in ("grp", "h", "doc")), strict=True)]
+        h, tag = column(left, "h", np.uint64), column(left, "tag", np.uint32)
+        doc = [t[d] for t, d in zip(column(left, "docs", np.int64), column(left, "doc", np.uint32), strict=True)]
+        h, tag, doc = (np.concatenate([np.zeros(0, k), *x]) for x, k in ((h, np.uint64), (tag, np.uint32), (doc, np.int64)))
+        by = np.lexsort((doc, tag, h))
+        h, tag, doc = h[by], tag[by], doc[by]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])
+        which = np.cumsum(new) - 1
+        fresh_h, fresh_tag = h[new], tag[new]
+        old = np.zeros(len(fresh_h), bool)
+        runs = list(zip(column(right, "h", np.uint64), column(right, "tag", np.uint32), strict=True))
+        for run_h, run_tag in runs:
+            old |= known(fresh_h, fresh_tag, run_h, run_tag)
+        repeated = old[which] | (doc > doc[np.flatnonzero(new)[which]]) if len(h) else np.zeros(0, bool)
+        rows += [("answer", bucket, g, x, b"", d) for g, d, x in answers(doc[repeated], h[repeated], groups)]
+        if keep:
+            made_h, made_tag = fresh_h[~old], fresh_tag[~old]
+            if compact:
+                made_h, made_tag = np.concatenate([made_h, *(r[0] for r in runs)]), np.concatenate([made_tag, *(r[1] for r in runs)])
+                by = np.lexsort((made_tag, made_h))
+                made_h, made_tag = made_h[by], made_tag[by]
+            if len(made_h):
+                rows.append(("run", bucket, -1, made_h.tobytes(), made_tag.tobytes(), b""))
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         cols = list(zip(*rows, strict=True)) or [()] * 6
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "bucket", "grp", "h", "tag", "doc"])
@@ -171,16 +174,12 @@ class FingerprintIndex:
         name = self.tables[0] if self.runs and not compact else f"{self.name}_{self.batch}"
         if keep and name not in self.tables:
             self.tables.append(name)  # so that it goes even if writing it fails
-        written = found.withColumn("batch", F.lit(self.batch))
-        with shuffles_dropped(spark):
-            if keep:
+        if keep:
+            written = found.withColumn("batch", F.lit(self.batch))
+            with shuffles_dropped(spark):
                 written.write.mode("append").option("compression", "zstd").partitionBy("kind", "batch").bucketBy(self.buckets, "bucket").saveAsTable(name)
-                answer = spark.table(name).where(f"kind = 'answer' AND batch = {self.batch}")
-            else:
-                answer = self.scratch.write(found, f"last{self.batch}", compression="zstd")
-        self.scratch.write(answer.select("grp", "doc", "h"), f"answers/batch={self.batch}", compression="zstd")
-        if not keep:
-            self.scratch.drop(f"last{self.batch}")
+            found = spark.table(name).where(f"kind = 'answer' AND batch = {self.batch}")
+        self.scratch.write(found.select("grp", "doc", "h"), f"answers/batch={self.batch}", compression="zstd")
         if keep:
             for old_name in self.tables[:-1]:
                 self.spark.sql(f"DROP TABLE IF EXISTS {old_name}")
@@ -252,7 +251,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     known_ids = rows.where("doc_id IS NOT NULL")
     size_bytes = plan_bytes(docs)
     groups = parts(docs, 6 << 20)
-    index = FingerprintIndex(spark, size, max(1, size_bytes >> 20), groups, most_runs)
+    index = FingerprintIndex(spark, size, size_bytes // BUCKET_BYTES + 1, groups, most_runs)
     # Batches by ranges of doc_id, so that all history has smaller doc_ids. The bounds only balance the batches.
     bounds = sorted(set(known_ids.approxQuantile("doc_id", [k / batch_count for k in range(1, batch_count)], 0.01))) if batch_count > 1 else []
     try:
