@@ -115,6 +115,41 @@ def test_simhash_finds_every_link_of_planted_fingerprints(spark):
         assert {i: low.get(i, i) for i in range(len(rows))} == components_expected(list(enumerate(rows)))
 
 
+def test_tables_of_links_are_few_files_and_stars_take_no_round(spark, docs, corpus, tmp_path, monkeypatch):
+    """However many partitions a shuffle has, as Hadoop's local file system may start a process for each file."""
+    from tickloom.llm.components import components
+
+    files: dict[str, int] = {}
+    write = Scratch.write
+
+    def counted(self, df, name, **options):
+        out = write(self, df, name, **options)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        chain = [(i, i + 1) for i in range(2000) if i % 20 != 19]
+        spark.createDataFrame(chain, "a long, b long").write.parquet(f"{tmp_path}/chains")
+        low = components(spark.read.parquet(f"{tmp_path}/chains"), Scratch(spark, "test"))
+        assert {r.b: r.a for r in low.collect()} == {i: i - i % 20 for i in range(2000) if i % 20}
+        most = spark.sparkContext.defaultParallelism
+        assert len(files) > 2 and max(files.values()) <= most < 64
+        files.clear()
+        low = components(low.select("a", "b"), Scratch(spark, "test"))
+        assert list(files) == ["links0"] and low.count() == 1900
+        docs(corpus).write.parquet(f"{tmp_path}/docs")
+        assert simhash.keep_one(spark.read.parquet(f"{tmp_path}/docs")).count() < len(corpus)
+        assert max(n for name, n in files.items() if name.startswith(("links", "prints", "tried", "shingles"))) <= most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_simhash_odd_rows(docs):
     assert simhash.simhash_dedup(docs([])).collect() == []
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_dedup(docs([(None, ""), (4, None), (2, " "), (7, "some words that differ from nothing"), (None, "alone among all the other rows")])).collect()}

@@ -28,6 +28,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of input that one Python task should handle at most.
 TASK_BYTES = 24 << 20
+#: Bytes of the tables that a table of links comes from, for each file of it.
+FILE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,6 +149,17 @@ def parts(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
     return max(least, math.ceil(plan_bytes(df) / task_bytes))
 
 
+def gathered(df: DataFrame, *sources: DataFrame) -> DataFrame:
+    """df in a partition for FILE_BYTES of its sources, one for each core at least; as it is where their size isn't known.
+
+    For tables without Python in their last stage that are written: files are few then, however many partitions a shuffle has.
+    """
+    sizes = [plan_bytes(s) for s in sources]
+    if not all(sizes):
+        return df
+    return df.coalesce(min(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(sum(sizes) / FILE_BYTES)), 1 << 20))
+
+
 def batches(it: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `most` bytes of the column each; one row at least."""
     for b in it:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import LOWER, WORD, Scratch, WordHash, batches, fresh, mix, odd, released, rolling, utf8, word_hashes
+from tickloom.llm.common import LOWER, WORD, Scratch, WordHash, batches, fresh, gathered, mix, odd, released, rolling, utf8, word_hashes
 from tickloom.llm.components import components
 
 SEED = 42
@@ -356,11 +356,11 @@ def alike(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
 def fingerprint_links(marked: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     """Links (a, b) between sets that connect those whose texts' fingerprints differ by at most `most` bits. marked: fp, set."""
     both = marked.select("fp", "set").distinct()
-    least = scratch.write(both.groupBy("fp").agg(F.min("set").alias("own")), "prints")
+    least = scratch.write(gathered(both.groupBy("fp").agg(F.min("set").alias("own")), marked), "prints")
     forests = link_forests(least.select("fp", F.col("fp").alias("id")), scratch, most)
     ends = [least.select(F.col("fp").alias(c), F.col("own").alias(f"own_{c}")) for c in ("a", "b")]
     across = forests.join(ends[0], "a").join(ends[1], "b").select("own_a", "own_b")
-    links = both.join(least, "fp").select("own", "set").unionAll(across).toDF("x", "y")  # equal fingerprints, then close ones
+    links = gathered(both.join(least, "fp").select("own", "set"), marked).unionAll(across).toDF("x", "y")  # equal fingerprints, then close ones
     return scratch.write(links.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "close")
 
 
@@ -383,9 +383,10 @@ def near_copies(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, size:
     wanted = marked.join(shared.select(F.col("id").alias("set")).distinct(), "set", "left_semi").groupBy("set").agg(F.min(F.struct("th", "keys")).alias("of"))
     wanted = wanted.select("set", "of.*")
     texts = docs.select(text_hash(text).alias("th"), F.col(text).alias("text"))
-    sets = scratch.write(texts.join(wanted.hint("merge"), "th").select("set", "keys", "text").mapInArrow(released(shingles), "set long, keys array<long>, shingles binary").dropDuplicates(["set"]), "shingles")
+    found = texts.join(wanted.hint("merge"), "th").select("set", "keys", "text").mapInArrow(released(shingles), "set long, keys array<long>, shingles binary")
+    sets = scratch.write(gathered(found.dropDuplicates(["set"]), docs), "shingles")
 
-    tried = scratch.write(close.select("a", "b").distinct(), "tried")
+    tried = scratch.write(gathered(close.select("a", "b").distinct(), close), "tried")
     links = printed.unionAll(scratch.write(alike(tried, sets, share), "alike"))
     low = components(links, Scratch(docs.sparkSession, "near"))
     # Entries of a band that are not connected yet are compared with all others of it that they are not connected with.
@@ -394,7 +395,7 @@ def near_copies(docs: DataFrame, scratch: Scratch, text: str, doc_id: str, size:
     rest = named.join(mixed, "key").join(sets.withColumnRenamed("set", "id"), "id").repartition("key").sortWithinPartitions("key")
     more = scratch.write(rest.mapInArrow(lambda it: apart(it, share), "a long, b long"), "apart")
     if not more.isEmpty():
-        low = components(links.unionAll(more), Scratch(docs.sparkSession, "near"))
+        low = components(low.select("a", "b").unionAll(more), Scratch(docs.sparkSession, "near"))
     low = low.select(F.col("b").alias("set"), "a")
     return marked.join(low, "set", "left").select("doc_id", "th", F.coalesce("a", "set").alias("component"))
 
